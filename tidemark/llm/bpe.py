@@ -128,7 +128,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
     held = spark.sparkContext.broadcast(ranks)
     name = f"bpe:{pattern}:{hashlib.sha1(repr(sorted(ranks.items())).encode()).hexdigest()}"
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def codec() -> Codec:
         return worker_cache(name, lambda: Codec(held.value, pattern))
@@ -145,7 +144,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
                 text = bytes(t).decode("utf-8", "replace")
                 mark = hashlib.sha256(text.encode()).hexdigest()
                 for k, part in enumerate(chunks(text, chunk_chars, overlap)):
-                    yield pd.DataFrame({"_id": pd.Series([i], dtype=object), "_mark": [mark], "_k": [k], "_chunk": [part]})
+                    yield pd.DataFrame({"_id": [i], "_mark": [mark], "_k": [k], "_chunk": [part]})
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec()
@@ -153,7 +152,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
             for row in batch.to_dict("records"):
                 starts, found = boundaries(c, row["_chunk"])
                 c.pieces(row["_chunk"])
-                yield pd.DataFrame([row | {"_starts": starts, "_pieces": found}]).astype({"_id": object})
+                yield pd.DataFrame([row | {"_starts": starts, "_pieces": found}])
 
     def join(chunked: pd.DataFrame) -> pd.DataFrame:
         c = codec()
@@ -161,13 +160,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: st
         one = chunked.drop_duplicates("_k").sort_values("_k")
         parts = [(t, list(s), list(p)) for t, s, p in zip(one["_chunk"], one["_starts"], one["_pieces"], strict=True)]
         row = sealed([c.piece(p) for p in stitch(parts, chunk_chars, c)], with_ids)
-        out = pd.DataFrame([(chunked["_id"].iloc[0], *row)] * times, columns=["_id", *[f.split()[0] for f in fields.split(", ")]])
-        return out.astype({"_id": object})
+        return pd.DataFrame([(chunked["_id"].iloc[0], *row)] * times, columns=["_id", *[f.split()[0] for f in fields.split(", ")]])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.col(text_col).alias("_whole"))
     long = F.coalesce(F.length("_whole"), F.lit(0)) > chunk_chars
     short = rows.where(~long).select("_id", whole("_text").alias("_out")).select("_id", "_out.*")
-    parts = rows.where(long).select("_id", "_text").mapInPandas(deal, f"_id {id_type}, _mark string, _k int, _chunk string")
-    parts = parts.repartition("_id", "_mark", "_k").mapInPandas(split, f"_id {id_type}, _mark string, _k int, _chunk string, _starts array<int>, _pieces array<string>")
-    joined = parts.groupBy("_id", "_mark").applyInPandas(join, f"_id {id_type}, {fields}")
-    return short.unionByName(joined).withColumnRenamed("_id", id_col)
+    parts = rows.where(long).select(F.col("_id").cast("string"), "_text").mapInPandas(deal, f"_id string, _mark string, _k int, _chunk string")
+    parts = parts.repartition("_id", "_mark", "_k").mapInPandas(split, f"_id string, _mark string, _k int, _chunk string, _starts array<int>, _pieces array<string>")
+    joined = parts.groupBy("_id", "_mark").applyInPandas(join, f"_id string, {fields}")
+    return short.unionByName(joined.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType))).withColumnRenamed("_id", id_col)

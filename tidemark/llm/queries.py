@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, repetition
+from . import bpe, mixing, repetition, simhash
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("covered_words", "longest_repeat")
 
 
+def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_repetition": op2_suffix_array_repetition,
+    "op4_simhash_bk_tree": op4_simhash_bk_tree,
     "op7_mix_sources": op7_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
 }

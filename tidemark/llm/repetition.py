@@ -9,8 +9,6 @@ LCPs says, so the union of the spans of all maximal repeats is the union of thos
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,16 +114,14 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     measured whole, in the task that reads it: no shuffle.
     """
     bound_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = measure([bytes(t) if t is not None else b"" for t in batch["_text"]])
-            yield pd.concat([batch[["_id"]].reset_index(drop=True), found[names]], axis=1)
+    @F.pandas_udf(", ".join(f"{c} long" for c in names))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return measure([bytes(t) if t is not None else b"" for t in texts])[names]
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    out = rows.mapInPandas(run, f"_id {kind}, " + ", ".join(f"{c} long" for c in names))
+    measured = run(F.col(text_col).cast("binary")).alias("_out")
+    out = docs.select(F.col(id_col).alias("_id"), measured).select("_id", "_out.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_WINDOW_PERCENT * F.col("n_words"))
     good = (100 * F.col("covered_words") <= MAX_COVERED_PERCENT * F.col("n_words")) & (F.col("longest_repeat") <= MAX_REPEAT)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & good).withColumnRenamed("_id", id_col)
