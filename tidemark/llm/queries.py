@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, repetition, simhash
+from . import bpe, lines, mixing, quality, repetition, simhash
 from .common import table
 
 
@@ -30,11 +30,21 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("_copy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_repetition": op2_suffix_array_repetition,
     "op4_simhash_bk_tree": op4_simhash_bk_tree,
     "op7_mix_sources": op7_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_byte_cnn": op9_byte_cnn,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 ORACLES: dict[str, str] = {
