@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, quality, repetition, simhash
+from . import bpe, lines, mixing, neighbours, perspectives, quality, repetition, simhash
 from .common import table
 
 
@@ -15,10 +15,18 @@ def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("covered_words", "longest_repeat")
 
 
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,9 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_repetition": op2_suffix_array_repetition,
+    "op3_perspective_rotation": op3_perspective_rotation,
     "op4_simhash_bk_tree": op4_simhash_bk_tree,
+    "op6_stable_projections": op6_stable_projections,
     "op7_mix_sources": op7_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_byte_cnn": op9_byte_cnn,
@@ -49,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_suffix_array_repetition": repetition.ORACLE,
+    "op3_perspective_rotation": perspectives.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
