@@ -123,11 +123,12 @@ class Tree:
         return (np.maximum(np.maximum(self.low - row, row - self.high), 0) ** 2).sum(axis=1)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, queries: list[tuple[int, np.ndarray, np.ndarray, float]], radius: float, k: int) -> list[tuple[int, int, float]]:
+def search(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, queries: list[tuple[int, np.ndarray, np.ndarray, float, float, float]], radius: float, k: int) -> list[tuple[int, int, float]]:
     """Verified neighbours (query id, id, score) in one part of a cell.
 
-    near: projected rows. Each query is (id, vector, projected, bound): bound is the k-th
-    squared distance known elsewhere. Distances are in units of the scaled space.
+    near: projected rows. Each query is (id, vector, projected, bound, scale, base): bound is
+    the k-th squared distance known elsewhere, and base - scale * score the squared distance
+    that a score comes to.
     """
     tree = Tree(near)
     near, vectors, ids = near[tree.order], vectors[tree.order], ids[tree.order]
@@ -187,11 +188,11 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_col:
 
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).select("_v").toPandas()["_v"]
     cells = Cells(lifted(np.stack(sample.to_numpy())), min(MOST_CELLS, -(-shape["n"] // CELL_ROWS)))
-    held = spark.sparkContext.broadcast(cells)  # MOST_CELLS boxes at most
+    # the cells, MOST_CELLS boxes at most, are sent with the functions
 
     @F.pandas_udf("int")
     def home(v: pd.Series) -> pd.Series:
-        return pd.Series(held.value.home(lifted(np.stack(v.to_numpy()))) if len(v) else [], dtype="int32")
+        return pd.Series(cells.home(lifted(np.stack(v.to_numpy()))) if len(v) else [], dtype="int32")
 
     data = cut_lineage(rows.withColumn("_cell", home("_v")))
     sizes = cut_lineage(data.groupBy("_cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_parts")))  # a row for each cell
@@ -225,10 +226,9 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_col:
 
     @F.pandas_udf("array<int>")
     def others(v: pd.Series, bounds: pd.Series, own: pd.Series) -> pd.Series:
-        c = held.value
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series([[i for i in np.flatnonzero(c.distances(y) <= radius * b).tolist() if i != o] for y, b, o in zip(asked(np.stack(v.to_numpy())), bounds, own, strict=True)])
+        return pd.Series([[i for i in np.flatnonzero(cells.distances(y) <= radius * b).tolist() if i != o] for y, b, o in zip(asked(np.stack(v.to_numpy())), bounds, own, strict=True)])
 
     abroad = known.select("_id", "_v", "_bound", F.explode(others("_v", "_bound", "_cell")).alias("_cell"))
     found = first.unionByName(visits(abroad))

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, neighbours, perspectives, quality, repetition, simhash
+from . import bpe, licences, lines, mixing, neighbours, perspectives, pseudonyms, quality, repetition, simhash
 from .common import table
 
 
+#: Key of the pseudonyms; a deployment passes its own secret.
+PSEUDONYM_KEY = "tidemark"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.repetition_rules(table(spark, sf_dir, "documents"))
     return out.drop("covered_words", "longest_repeat")
@@ -23,6 +31,10 @@ def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -47,9 +59,11 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_suffix_array_repetition": op2_suffix_array_repetition,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_simhash_bk_tree": op4_simhash_bk_tree,
+    "op5_licence_scan": op5_licence_scan,
     "op6_stable_projections": op6_stable_projections,
     "op7_mix_sources": op7_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,

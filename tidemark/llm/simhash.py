@@ -51,14 +51,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _fp) per row, _fp as a signed long; null and empty texts have fingerprint zero."""
+    """(_id, _mark, _fp) per row: a hash of the text, and the fingerprint as a signed long; null and empty texts have fingerprint zero."""
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(bytes(t)) if t is not None else 0 for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("_id"), run(F.col(text_col).cast("binary")).alias("_fp"))
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_mark"), run(text.cast("binary")).alias("_fp"))
 
 
 def masks(radius: int, agree: int) -> list[int]:
@@ -170,6 +171,16 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, agree: int = 1, tile: int =
     return dealt.mapInPandas(run, "u long, v long")
 
 
+def _classified(docs: DataFrame, id_col: str, text_col: str, agree: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of the rows, and per fingerprint (_class) its component: _root and component_id."""
+    prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col))
+    nodes = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
+    joined = components(links(nodes.select("_fp"), agree=agree, tile=tile))
+    classes = nodes.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    least = classes.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return prints, classes.join(least, "_root").select(F.col("_fp").alias("_class"), "_root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", agree: int = 1, tile: int = TILE) -> DataFrame:
     """Per row: id_col, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -178,10 +189,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Other columns are ignored; an empty table gives no rows. ``agree`` sets how many bits
     shards share: 1 suits up to about 10^8 distinct fingerprints, 2 to 10^11.
     """
-    prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col))
-    nodes = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    joined = components(links(nodes.select("_fp"), agree=agree, tile=tile))
-    classes = nodes.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    least = classes.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = classes.join(least, "_root").select(F.col("_fp").alias("_class"), "component_id")
-    return prints.join(named, F.col("_fp") == F.col("_class")).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints, classes = _classified(docs, id_col, text_col, agree, tile)
+    named = prints.join(classes, F.col("_fp") == F.col("_class"))
+    return named.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", agree: int = 1, tile: int = TILE) -> DataFrame:
+    """One row of each component, that of the smallest id (nulls last), columns as they were."""
+    prints, classes = _classified(docs, id_col, text_col, agree, tile)
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_mark")
+    first = prints.join(classes, F.col("_fp") == F.col("_class")).groupBy("_root").agg(F.min(order).alias("_first")).select(F.col("_first._id").alias("_keep"), F.col("_first._mark").alias("_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_mark"))
+    kept = rows.join(first, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_mark") == F.col("_text"))).dropDuplicates(["_id", "_mark"])
+    return kept.select("_row.*")
