@@ -1,40 +1,6 @@
 """Every query of the inventory, by name, and the SQL it is checked against."""
 
-from __future__ import annotations
+from . import functions, patterns, pipelines, relational, sources, streams, windows  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has any."""
-
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-SELECT event_type, time_bucket(INTERVAL '10 minutes', ts) AS window_start,
-       time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end,
-       count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT user_id) AS users
-FROM events GROUP BY 1, 2, 3
-""")
-def w_tumble(spark: SparkSession, d: str) -> DataFrame:
-    w = F.window(F.col("ts"), "10 minutes")
-    grouped = table(spark, d, "events").groupBy("event_type", w.alias("w"))
-    out = grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.count_distinct("user_id").alias("users"))
-    return out.select("event_type", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total", "users")
+__all__ = ["ORACLES", "QUERIES"]
