@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 from collections.abc import Callable
@@ -37,8 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint in the cluster's shared folder.
 
     ``spark.checkpoint.dir`` names that folder. Only where neither it nor a directory
-    set by hand exists (a local test) is a temporary one used.
+    set by hand exists (a local test) is a temporary one used. Spark drops the shuffle
+    files of earlier steps when the driver collects their plans as garbage, so that is
+    asked for first: steps don't add up on disk.
     """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
