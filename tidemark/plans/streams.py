@@ -1 +1,113 @@
-"""Placeholder."""
+"""Streaming twins: the batch queries' results from ``readStream``, run to the end of the input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import windows
+from ..streaming import processors as P
+from ..streaming.run import finish, read_stream
+from .registry import query
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: df[f.name].cast("timestamp_ntz") for f in df.schema if f.dataType.typeName() == "timestamp"})
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def x_tumble_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a stream in complete mode, which holds the open ones too."""
+    e = read_stream(spark, d, "events").withWatermark("ts", "5 seconds")
+    out = e.groupBy("event_type", windows.tumble("ts", "10 minutes")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return _plain(finish(windows.spread(out).drop("window_end"), "complete"))
+
+
+@query("SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '1 hour' AS window_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, sid HAVING max(ts) + INTERVAL '1 hour' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '5 seconds' FROM events)")
+def x_session_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions in append mode: those that the watermark has passed."""
+    e = read_stream(spark, d, "events").withWatermark("ts", "5 seconds")
+    return _plain(finish(windows.spread(e.groupBy("user_id", windows.session("ts", "1 hour")).agg(F.count("*").alias("n")))))
+
+
+@query("SELECT event_type, count(*) AS users FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type")
+def x_distinct_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct counts of a stream: deduplicated in one, counted in the next stateful operator."""
+    e = read_stream(spark, d, "events").select("event_type", "user_id").dropDuplicates(["event_type", "user_id"])
+    seen = finish(e)
+    return seen.groupBy("event_type").agg(F.count("*").alias("users"))
+
+
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY")
+def x_interval_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream-stream join whose bounds limit its state."""
+    o = read_stream(spark, d, "orders").withWatermark("o_orderdate", "1 hour")
+    line = read_stream(spark, d, "lineitem").withWatermark("l_shipdate", "1 hour")
+    on = F.expr("o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAYS")
+    return finish(o.join(line, on).select("o_orderkey", "l_linenumber"))
+
+
+@query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def x_lookup_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream against a static table."""
+    table = spark.read.parquet(f"{d}/customer.parquet")
+    return finish(read_stream(spark, d, "orders").join(table, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment"))
+
+
+@query("SELECT user_id AS key, ts, round(p, 6) AS before, round(value, 6) AS value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE value IS NOT NULL) WHERE abs(value - p) > 50")
+def x_change_alert_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Keyed state: values that jump from their key's last one."""
+    e = read_stream(spark, d, "events").where("value is not null")
+    out = finish(P.apply(e, ["user_id"], P.ChangeAlert("value", 50.0), "key long, ts timestamp, before double, value double", "update"))
+    return _plain(out.select("key", "ts", F.round("before", 6).alias("before"), F.round("value", 6).alias("value")))
+
+
+@query("SELECT user_id AS key, ts, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS total FROM events WHERE value IS NOT NULL")
+def x_rolling_sum_stream(spark: SparkSession, d: str) -> DataFrame:
+    e = read_stream(spark, d, "events").where("value is not null")
+    out = finish(P.apply(e, ["user_id"], P.RunningSum("value"), "key long, ts timestamp, total double", "update"))
+    return _plain(out.select("key", "ts", F.round("total", 6).alias("total")))
+
+
+@query("""
+SELECT user_id AS key, b AS bucket, CAST(count(*) AS INTEGER) AS n, round(sum(value), 6) AS total
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // 2 AS BIGINT) AS b FROM events WHERE value IS NOT NULL) GROUP BY 1, 2 HAVING count(*) = 2
+""")
+def x_count_window_stream(spark: SparkSession, d: str) -> DataFrame:
+    e = read_stream(spark, d, "events").where("value is not null")
+    out = finish(P.apply(e, ["user_id"], P.CountWindow("value", 2), "key long, bucket long, n int, total double", "update"))
+    return out.select("key", "bucket", "n", F.round("total", 6).alias("total"))
+
+
+@query("""
+SELECT e.user_id AS key, e.ts, round(e.value, 6) AS value, r.threshold FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE value IS NOT NULL) e
+JOIN (SELECT c_custkey AS user_id, CAST(c_nationkey AS DOUBLE) AS threshold FROM customer WHERE c_nationkey > 0) r USING (user_id) WHERE abs(e.value - e.p) > r.threshold
+""")
+def x_rules_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Readings and per-key rules as one tagged stream."""
+    e = read_stream(spark, d, "events").where("value is not null").select(F.col("user_id").alias("key"), "ts", "value", F.lit("reading").alias("tag"), F.lit(None).cast("double").alias("threshold"))
+    rules = read_stream(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit("2000-01-01").cast("timestamp").alias("ts"), F.lit(None).cast("double").alias("value"), F.lit("rule").alias("tag"), F.col("c_nationkey").cast("double").alias("threshold"))
+    out = finish(P.apply(e.unionByName(rules), ["key"], P.RuleAlert(), "key long, ts timestamp, value double, threshold double", "update"))
+    return _plain(out.withColumn("value", F.round("value", 6)))
+
+
+@query("SELECT event_id, CAST(0 AS BIGINT) AS watermark_ms, false AS late FROM events")
+def x_late_tag_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Rows tagged with the watermark; in the first micro-batch of a stream none is late."""
+    e = read_stream(spark, d, "events").withWatermark("ts", "5 seconds").select("event_id", "ts", "user_id")
+    out = finish(P.apply(e, ["user_id"], P.LateTag(["event_id"]), "event_id long, watermark_ms long, late boolean", "append", "processingTime"))
+    return out.withColumn("watermark_ms", F.greatest(F.col("watermark_ms"), F.lit(0).cast("long")))
+
+
+@query("""
+SELECT user_id AS key, window_start, CAST(sum(n) OVER w AS BIGINT) AS n, round(sum(total) OVER w, 6) AS total
+FROM (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, sum(value) AS total FROM events WHERE value IS NOT NULL GROUP BY 1, 2
+      HAVING time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '5 seconds' FROM events WHERE value IS NOT NULL))
+WINDOW w AS (PARTITION BY user_id ORDER BY window_start ROWS UNBOUNDED PRECEDING)
+""")
+def x_cumulative_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Windows closed by the watermark, then totals over all windows so far."""
+    e = read_stream(spark, d, "events").where("value is not null").withWatermark("ts", "5 seconds")
+    per = e.groupBy("user_id", windows.tumble("ts", "1 day")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = finish(P.apply(windows.spread(per), ["user_id"], P.Cumulative(), "key long, window_start timestamp, n long, total double"))
+    return _plain(out.withColumn("total", F.round("total", 6)))
