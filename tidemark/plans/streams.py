@@ -95,7 +95,7 @@ def x_rules_stream(spark: SparkSession, d: str) -> DataFrame:
 def x_late_tag_stream(spark: SparkSession, d: str) -> DataFrame:
     """Rows tagged with the watermark; in the first micro-batch of a stream none is late."""
     e = read_stream(spark, d, "events").withWatermark("ts", "5 seconds").select("event_id", "ts", "user_id")
-    out = finish(P.apply(e, ["user_id"], P.LateTag(["event_id"]), "event_id long, watermark_ms long, late boolean", "append", "processingTime"))
+    out = finish(P.apply(e, ["user_id"], P.LateTag(["event_id"]), "event_id long, watermark_ms long, late boolean", "append", "processingTime"), once=True)
     return out.withColumn("watermark_ms", F.greatest(F.col("watermark_ms"), F.lit(0).cast("long")))
 
 

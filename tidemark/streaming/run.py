@@ -25,10 +25,11 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return df.withColumns({f.name: df[f.name].cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def finish(df: DataFrame, mode: str = "append") -> DataFrame:
+def finish(df: DataFrame, mode: str = "append", once: bool = False) -> DataFrame:
     """All that a stream emits by the end of its input, from a checkpointed query into files.
 
-    In complete mode the last result; in update mode every update.
+    In complete mode the last result; in update mode every update. Processors on processing
+    time always ask for another batch, so their queries run ``once``.
     """
     spark, base = df.sparkSession, shared_folder(df.sparkSession)
 
@@ -36,7 +37,7 @@ def finish(df: DataFrame, mode: str = "append") -> DataFrame:
         if not batch.isEmpty():
             batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(**({"once": True} if once else {"availableNow": True})).start()
     query.awaitTermination()
     return spark.createDataFrame([], df.schema).unionByName(spark.read.schema(df.schema).option("ignoreMissingFiles", True).parquet(f"{base}/out")) if _exists(spark, f"{base}/out") else spark.createDataFrame([], df.schema)
 
