@@ -136,7 +136,7 @@ WITH d AS (
 ), p AS (
   SELECT r, len(words) AS n, words, unnest(range(1, len(words) + 1)) AS i FROM w
 ), g AS (
-  SELECT r, n, i, m, count(*) OVER (PARTITION BY r, m, words[i:i + m - 1]) > 1 AS twice
+  SELECT r, n, i, m, count(*) OVER (PARTITION BY r, m, hash(words[i:i + m - 1])) > 1 AS twice
   FROM p, (VALUES ({WINDOW}), ({MIN_REPEAT}), ({MAX_REPEAT + 1})) AS v(m) WHERE i + m - 1 <= n
 ), c AS (
   SELECT r, m, i, max(CASE WHEN twice THEN i + m - 1 END) OVER (PARTITION BY r, m ORDER BY i) AS reach FROM g
