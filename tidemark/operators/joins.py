@@ -27,7 +27,7 @@ class VersionedTable:
         return self.df.groupBy(self.key).agg(row).select("_r.*")
 
 
-def asof_join(left: DataFrame, versions: VersionedTable, on: str, ts: str, *, how: str = "inner", prefix: str = "", slice_by: str = "1 day") -> DataFrame:
+def asof_join(left: DataFrame, versions: VersionedTable, on: str, ts: str, *, how: str = "inner", prefix: str = "", slice_s: int = 86_400) -> DataFrame:
     """Each left row with the version of its key that was valid at its time; batch.
 
     The right columns but its key come back, ``prefix`` before their names. With how="left"
@@ -40,7 +40,7 @@ def asof_join(left: DataFrame, versions: VersionedTable, on: str, ts: str, *, ho
     """
     right_cols = [c for c in versions.df.columns if c != versions.key]
     version = F.struct(F.col(versions.ts).alias("_ts"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(right_cols)])
-    of = lambda t: F.window(t, slice_by)["start"]
+    of = lambda t: F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / slice_s)
     right = versions.df.select(F.col(versions.key).alias("_k"), F.col(versions.ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), version.alias("_r"))
     rows = left.select(F.col(on).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema["_r"].dataType).alias("_r"))
     both = right.unionByName(rows).withColumn("_slice", of("_t"))

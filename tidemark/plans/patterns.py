@@ -114,7 +114,7 @@ def x_smoke_alert(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("one", F.lit(1))
     levels = e.where("event_type = 'error'").groupBy("one", F.col("ts").alias("level_ts")).agg((F.max("value") > 80).alias("high"))
     readings = e.where("event_type <> 'error' and value > 80").select("event_id", "user_id", "ts", "one")
-    both = joins.asof_join(readings, joins.VersionedTable(levels, "one", "level_ts"), "one", "ts", slice_by="1 hour").where("high")
+    both = joins.asof_join(readings, joins.VersionedTable(levels, "one", "level_ts"), "one", "ts", slice_s=3600).where("high")
     return both.select("event_id", F.concat(F.lit("Risk of fire from user_"), F.col("user_id").cast("string")).alias("message"))
 
 

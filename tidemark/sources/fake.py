@@ -174,10 +174,10 @@ class _Stream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         a, b = start["row"], min(start["row"] + self.step, self.most)
-        return (self.rows.row(i) for i in range(a, b)), {"row": b}
+        return iter([self.rows.row(i) for i in range(a, b)]), {"row": b}  # a list: Spark ships it
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (self.rows.row(i) for i in range(start["row"], end["row"]))
+        return iter([self.rows.row(i) for i in range(start["row"], end["row"])])
 
 
 class FakeDataSource(DataSource):
