@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch. Long texts are why it is far below Spark's 10,000.
 BATCH_ROWS = 512
+#: What Spark's cleaner gets to drop files of collected plans, in seconds.
+CLEANING_S = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(CLEANING_S)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
