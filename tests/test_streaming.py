@@ -106,6 +106,15 @@ def test_early_windows(feed):
     assert any(not r["final"] for r in got)
 
 
+def test_pattern_stream(feed):
+    step = lambda i, s, v: {"id": i, "k": "a", "ts": sec(s), "v": float(v)}
+    stream = feed([step(1, 1, 5), step(3, 3, 3), step(2, 2, 4)], [step(4, 4, 6), step(5, 5, 2)], [step(6, 60, 7)], [step(7, 200, 1)], [step(8, 400, 1)]).withWatermark("ts", "1 second")
+    down = {"D": lambda m: m.row["v"] < (m.last("D", "v", 1) if len(m.of("D")) > 1 else m.last("S", "v")), "U": lambda m: m.row["v"] > m.last("D", "v")}
+    measures = {"first": lambda m: m.first("S", "id"), "last": lambda m: m.last("U", "id")}
+    out = finish(P.apply(stream, ["k"], P.PatternMatch("id long, ts timestamp, v double", "S D+ U", down, measures, ["ts", "id"], after="TO LAST U"), "key string, first long, last long", "append", "eventTime"))
+    assert {(r["first"], r["last"]) for r in out.collect()} == {(1, 4), (4, 6)}
+
+
 def test_rising_timer_rules():
     """Set on a rise, unchanged on a further one, cleared on a fall; never by a first value."""
     step = lambda *v: P.RisingAlert.step(*v, now=100, wait=50)

@@ -24,6 +24,8 @@ class Match:
 
     rows: list[tuple[str, dict]] = field(default_factory=list)
     row: dict | None = None
+    #: Whether the search looked beyond the rows at hand, so that more rows might change it.
+    starved: bool = False
 
     def of(self, *names: str) -> list[dict]:
         return [r for v, r in self.rows if not names or v in names]
@@ -58,8 +60,8 @@ def parse(pattern: str) -> list[tuple[str, int, float]]:
     return out
 
 
-def match_at(rows: list[dict], start: int, steps: list[tuple[str, int, float]], define: dict[str, Test], within: tuple[str, timedelta] | None) -> Match | None:
-    """The match that begins at a row, greedy with backtracking, without recursion.
+def match_at(rows: list[dict], start: int, steps: list[tuple[str, int, float]], define: dict[str, Test], within: tuple[str, timedelta] | None) -> Match:
+    """The match that begins at a row, greedy with backtracking, without recursion; without rows if there is none.
 
     The trail holds one choice a row: which step took it, and how many rows of that step it made.
     """
@@ -67,7 +69,10 @@ def match_at(rows: list[dict], start: int, steps: list[tuple[str, int, float]],
     match = Match()
 
     def fits(step: int, at: int) -> bool:
-        if at >= len(rows) or (within and rows[at][within[0]] - rows[start][within[0]] > within[1]):
+        if at >= len(rows):
+            match.starved = True
+            return False
+        if within and rows[at][within[0]] - rows[start][within[0]] > within[1]:
             return False
         name = steps[step][0]
         match.rows.append((name, rows[at]))
@@ -92,7 +97,8 @@ def match_at(rows: list[dict], start: int, steps: list[tuple[str, int, float]],
                 step, count = step + 1, 0
                 break
             if not trail:
-                return None
+                match.rows = []
+                return match
             step, count = trail.pop()
             match.rows.pop()
             count -= 1
@@ -110,20 +116,38 @@ def matches(rows: list[dict], pattern: str, define: dict[str, Test], after: str
     steps, at = parse(pattern), 0
     while at < len(rows):
         found = match_at(rows, at, steps, define, within)
-        if found is None:
-            at += 1
-            continue
-        yield found
-        words = after.upper().split()
-        end = at + len(found.rows)
-        if words[:2] == ["PAST", "LAST"]:
-            at = end
-        elif words[:2] == ["TO", "NEXT"]:
-            at += 1
-        else:
-            places = [i for i, (v, _) in enumerate(found.rows) if v.upper() == words[-1]]
-            to = at + (places[0] if words[1] == "FIRST" else places[-1]) if places else at
-            at = max(to, at + 1)
+        if found.rows:
+            yield found
+        at = skip(at, found, after)
+
+
+def skip(at: int, found: Match, after: str) -> int:
+    """Where the search goes on after what began at a row."""
+    words = after.upper().split()
+    if not found.rows or words[:2] == ["TO", "NEXT"]:
+        return at + 1
+    if words[:2] == ["PAST", "LAST"]:
+        return at + len(found.rows)
+    places = [i for i, (v, _) in enumerate(found.rows) if v.upper() == words[-1]]
+    to = at + (places[0] if words[1] == "FIRST" else places[-1]) if places else at
+    return max(to, at + 1)
+
+
+def settled(rows: list[dict], pattern: str, define: dict[str, Test], after: str, within: tuple[str, timedelta] | None, now: Any) -> tuple[list[Match], int]:
+    """For a partition that goes on: the matches that later rows can't change, and how many rows are done with.
+
+    Rows from the first undecided start on are kept. ``now`` is the time that later rows
+    can't be before; with ``within`` it decides what would otherwise wait for ever.
+    """
+    steps, at, out = parse(pattern), 0, []
+    while at < len(rows):
+        found = match_at(rows, at, steps, define, within)
+        if found.starved and not (within and now - rows[at][within[0]] > within[1]):
+            break
+        if found.rows:
+            out.append(found)
+        at = skip(at, found, after)
+    return out, min(at, len(rows))
 
 
 def match_recognize(

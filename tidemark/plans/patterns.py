@@ -40,12 +40,12 @@ def m_premium_basic(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT event_type, event_id, ts, value, lag(value) OVER w AS p, lead(value) OVER w AS q, row_number() OVER w AS i FROM (SELECT * FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+WITH v AS (SELECT user_id, event_id, ts, value, lag(value) OVER w AS p, lead(value) OVER w AS q, row_number() OVER w AS i FROM (SELECT * FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 f AS (SELECT *, CASE WHEN value < p THEN 0 ELSE 1 END AS stop FROM v),
-g AS (SELECT *, sum(stop) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) AS fall FROM f),
-r AS (SELECT event_type, fall, min(i) AS i0, max(i) AS i1, count(*) - 1 AS downs, arg_max(value, i) AS bottom, arg_max(q, i) AS after FROM g GROUP BY event_type, fall)
-SELECT r.event_type, a.event_id AS start_id, b.event_id AS bottom_id, c.event_id AS up_id, CAST(downs AS BIGINT) AS downs
-FROM r JOIN v a ON a.event_type = r.event_type AND a.i = i0 JOIN v b ON b.event_type = r.event_type AND b.i = i1 JOIN v c ON c.event_type = r.event_type AND c.i = i1 + 1
+g AS (SELECT *, sum(stop) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS fall FROM f),
+r AS (SELECT user_id, fall, min(i) AS i0, max(i) AS i1, count(*) - 1 AS downs, arg_max(value, i) AS bottom, arg_max(q, i) AS after FROM g GROUP BY user_id, fall)
+SELECT r.user_id, a.event_id AS start_id, b.event_id AS bottom_id, c.event_id AS up_id, CAST(downs AS BIGINT) AS downs
+FROM r JOIN v a ON a.user_id = r.user_id AND a.i = i0 JOIN v b ON b.user_id = r.user_id AND b.i = i1 JOIN v c ON c.user_id = r.user_id AND c.i = i1 + 1
 WHERE downs >= 1 AND after > bottom
 """)
 def m_v_shape(spark: SparkSession, d: str) -> DataFrame:
@@ -57,10 +57,10 @@ def m_v_shape(spark: SparkSession, d: str) -> DataFrame:
 
     rows = _events(spark, d).where("value is not null")
     return match.match_recognize(
-        rows, partition_by=["event_type"], order_by=["ts", "event_id"], pattern="START DOWN+ UP",
+        rows, partition_by=["user_id"], order_by=["ts", "event_id"], pattern="START DOWN+ UP",
         define={"DOWN": down, "UP": lambda m: m.row["value"] > m.last("DOWN", "value")},
         measures={"start_id": lambda m: m.first("START", "event_id"), "bottom_id": lambda m: m.last("DOWN", "event_id"), "up_id": lambda m: m.last("UP", "event_id"), "downs": lambda m: len(m.of("DOWN"))},
-        schema="event_type string, start_id long, bottom_id long, up_id long, downs long", after="TO LAST UP",
+        schema="user_id long, start_id long, bottom_id long, up_id long, downs long", after="TO LAST UP",
     )
 
 

@@ -137,13 +137,13 @@ def t_sorted_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(max(value) OVER w, 6) AS high, round(min(value) OVER w, 6) AS low
-FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' PRECEDING AND CURRENT ROW)
+FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1 day' PRECEDING AND CURRENT ROW)
 """)
 def o_range_frame(spark: SparkSession, d: str) -> DataFrame:
     views(spark, d, "events")
     return spark.sql("""
       SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(max(value) OVER w, 6) AS high, round(min(value) OVER w, 6) AS low
-      FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)
+      FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW)
     """)
 
 

@@ -7,12 +7,15 @@ State has declared schemas. Spark passes timer arguments by keyword, hence the n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators.match import settled
+
 
 def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "append", time: str = "none", event_time: str = "") -> DataFrame:
     """A keyed stream through a processor."""
@@ -310,6 +313,41 @@ class EarlyWindow(StatefulProcessor):
         pass
 
 
+class PatternMatch(StatefulProcessor):
+    """Streaming row pattern matching; needs event time, and emits once the watermark has passed what decides a match.
+
+    columns: DDL of the input columns that rows are kept with; the others as in
+    :func:`tidemark.operators.match.match_recognize`. Rows come out as (key, measures).
+    """
+
+    def __init__(self, columns: str, pattern: str, define: dict, measures: dict, order: list[str], ts: str = "ts", after: str = "PAST LAST ROW", within: Any = None):
+        self.columns, self.pattern, self.define, self.measures = columns, pattern, define, measures
+        self.order, self.ts, self.after, self.within = order, ts, after, within
+        self.names = [c.split()[0] for c in columns.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in rows:
+            self.rows.appendValue(tuple(r[c] for c in self.names))
+            self.handle.registerTimer(int(r[self.ts].timestamp() * 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = datetime.fromtimestamp(timerValues.getCurrentWatermarkInMs() / 1000)
+        kept = [dict(zip(self.names, r, strict=True)) for r in self.rows.get()]
+        due = sorted((r for r in kept if r[self.ts] <= mark), key=lambda r: [r[c] for c in self.order])
+        found, done = settled(due, self.pattern, self.define, self.after, self.within and (self.ts, self.within), mark)
+        rest = due[done:] + [r for r in kept if r[self.ts] > mark]
+        self.rows.put([tuple(r[c] for c in self.names) for r in rest]) if rest else self.rows.clear()
+        return iter([Row(key=key[0], **{k: f(m) for k, f in self.measures.items()}) for m in found])
+
+    def close(self) -> None:
+        pass
+
+
 def schema_of(df: DataFrame, *more: str) -> StructType:
     """The DDL of a frame's columns and more."""
     return StructType.fromDDL(", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + list(more)))
