@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut_lineage
 
-M, P_STOP, LEAF, SEED = 8, 0.97, 64, 23
-#: Rows of the sample that the cells are fitted on; rows a part of a cell aims at; queries in a part; cells at most.
+M, P_STOP, LEAF, SEED = 8, 0.97, 128, 23
+#: Rows, about, of the sample that the cells are fitted on, by the hash of their id; rows a part of a cell aims at; queries in a part; cells at most.
 SAMPLE_ROWS, CELL_ROWS, QUERY_ROWS, MOST_CELLS = 20_000, 25_000, 4_000, 4_096
 
 
@@ -132,6 +132,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, queries: list
     """
     tree = Tree(near)
     near, vectors, ids = near[tree.order], vectors[tree.order], ids[tree.order]
+    begins, lengths = np.array(tree.ends[:-1]), np.diff(tree.ends)
     out = []
     for qid, q, y, bound, scale, base in queries:
         leaf = tree.distances(y)
@@ -140,7 +141,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, queries: list
         at, take = 0, 2
         while at < len(order) and leaf[order[at]] <= radius * bound:
             now = order[at : at + take]
-            rows = np.concatenate([np.arange(tree.ends[i], tree.ends[i + 1]) for i in now])
+            sizes = lengths[now]
+            rows = np.arange(sizes.sum()) + np.repeat(begins[now] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
             rows = rows[((near[rows] - y) ** 2).sum(axis=1) <= radius * bound]
             rows = rows[ids[rows] != qid]
             best_s, best_i = np.concatenate([best_s, vectors[rows] @ q]), np.concatenate([best_i, ids[rows]])
@@ -186,7 +188,9 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_col:
     def asked(v: np.ndarray) -> np.ndarray:
         return (v * (top / np.linalg.norm(v, axis=1, keepdims=True))) @ matrix[:-1]
 
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).select("_v").toPandas()["_v"]
+    share = min(1.0, SAMPLE_ROWS / shape["n"])
+    sampled = rows.where(F.xxhash64("_id") <= min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)).groupBy("_id").agg(F.min("_v").alias("_v"))  # repeated ids count once
+    sample = sampled.toPandas().sort_values("_id")["_v"]
     cells = Cells(lifted(np.stack(sample.to_numpy())), min(MOST_CELLS, -(-shape["n"] // CELL_ROWS)))
     # the cells, MOST_CELLS boxes at most, are sent with the functions
 
