@@ -181,8 +181,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     bound_batches(spark)
     line = F.substring(F.element_at(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", 2), 1), 1, 2000)
-    ordinary = docs.select(line.alias("_line")).where(F.length("_line") > 0).orderBy(F.xxhash64("_line"), "_line").limit(SAMPLE)
-    model = train([r["_line"] for r in ordinary.collect()])  # a few thousand weights, sent with the function
+    first = docs.select(line.alias("_line")).where(F.length("_line") > 0).withColumn("_hash", F.xxhash64("_line"))
+    # hashes first, then the lines: what reaches the driver stays small however many tasks there are
+    least = [r["_hash"] for r in first.select("_hash").distinct().orderBy("_hash").limit(SAMPLE).collect()]
+    ordinary = first.where(F.col("_hash") <= least[-1]).select("_line").distinct().collect() if least else []
+    model = train([r["_line"] for r in ordinary])  # a few thousand weights, sent with the function
     fields = "n_paragraphs long, n_notices long, licences string, best_licence string, best_probability double, n_unconfirmed long"
 
     @F.pandas_udf(fields)
