@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import lines
 
 
@@ -82,3 +84,26 @@ def test_clean(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(df).count() == 0 and lines.clean(df).count() == 0
+
+
+def test_large_bucket_without_its_links_at_the_pivots(spark, monkeypatch):
+    """Many families in one bucket, and a drift chain that no pivot reaches as a whole."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    made = []
+    for _ in range(15):
+        base = [word() for _ in range(30)]
+        made += [" ".join(base), " ".join([*base[:7], word(), *base[8:]])]
+    base = [word() for _ in range(30)]
+    for i in range(21):
+        made.append(" ".join(base))
+        base[i] = word()
+    rng.shuffle(made)
+    rows = list(enumerate(made))
+    monkeypatch.setattr(lines, "buckets", lambda t: t.select(F.lit(1).cast("long").alias("_band"), "_key").distinct())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len(set(want.values())) == 16
+    for tile in (1024, 8):
+        monkeypatch.setattr(lines, "TILE", tile, raising=False)
+        assert {(r["doc_id"], r["line_no"]): (r["first_id"], r["first_line_no"]) for r in lines.dedup_lines(df).collect()} == want

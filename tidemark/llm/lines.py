@@ -7,11 +7,13 @@ each of which the least hash counts, and ROWS of those are a band. Two lines of
 similarity s share a given band with probability about s^ROWS, so at 0.8 they share one of
 the BANDS with probability 0.986.
 
-Lines that share a band form a bucket; equal lines are one node from the start. No bucket
-is paired off: its PIVOTS most central lines, those that share the most and largest buckets,
-are compared with every line of it by exact Jaccard. That checks every pair in buckets of up
-to PIVOTS + 1 lines, and in larger ones, which are families of copies, finds the line that
-the others derive from. Work grows with the number of lines, not with a bucket's square.
+Lines that share a band form a bucket; equal lines are one node from the start. First its
+PIVOTS most central lines, those that share the most and largest buckets, are compared with
+every line of it by exact Jaccard. That checks every pair in buckets of up to PIVOTS + 1
+lines, and in larger ones, which mostly are families of copies, finds the line that the
+others derive from. A larger bucket that still holds several components is then settled:
+all its pairs of lines of different components are compared, tile by tile. The components
+are those that all pairs of all buckets give; no family of copies is paired off.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .components import components
 SHINGLE, AHEAD, BANDS, ROWS, PIVOTS, SIMILARITY = 9, 3, 6, 3, 4, 0.8
 #: Lines of at most FEW words have shingles at every character; those of FEW_SPARSE or more have (also) those at word starts.
 FEW, FEW_SPARSE = 10, 7
+#: Lines in one part of a large bucket.
+TILE = 1024
 #: White space within lines.
 BLANKS = " \t\x0b\x0c\r"
 
@@ -112,6 +116,23 @@ def pivot_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("_key", "_pivot").alias("u"), F.least("_key", "_pivot").alias("v")).distinct()
 
 
+def open_pairs(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(u, v), u > v: the lines of different components in each bucket that pivots didn't settle, once.
+
+    A bucket of more than TILE lines is cut into parts, and each two of them are a key of
+    the join, so no key has more than TILE lines a side.
+    """
+    named = members.join(joined.hint("shuffle_hash"), F.col("_key") == F.col("node"), "left").select("_band", "_key", F.coalesce("root", "_key").alias("_root"))
+    still = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_root").alias("_first"), F.max("_root").alias("_last")).where((F.col("_n") > PIVOTS + 1) & (F.col("_first") < F.col("_last")))
+    still = still.select(F.col("_band").alias("_of"), F.ceil(F.col("_n") / TILE).cast("int").alias("_parts"))
+    rows = named.join(still, F.col("_band") == F.col("_of")).select("_band", "_key", "_root", "_parts", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int").alias("_part"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+    left = dealt.where("_part <= _other").select("_band", F.col("_part").alias("_i"), F.col("_other").alias("_j"), F.col("_key").alias("a"), F.col("_root").alias("_a_root"))
+    right = dealt.where("_other <= _part").select("_band", F.col("_other").alias("_i"), F.col("_part").alias("_j"), F.col("_key").alias("b"), F.col("_root").alias("_b_root"))
+    pairs = left.join(right, ["_band", "_i", "_j"]).where("_a_root <> _b_root and (_i < _j or a > b)")
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root): lines, by 64-bit hash, that belong with another line, and the least of their component."""
     lines = line_table(docs, id_col, text_col).select(F.xxhash64("_line").alias("_key"), "_line")
@@ -119,7 +140,9 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("_key").alias("_want")).distinct()
     texts = lines.join(wanted.hint("shuffle_hash"), F.col("_key") == F.col("_want"), "left_semi").groupBy("_key").agg(F.max("_line").alias("_line"))
     sets = cut_lineage(shingle_sets(texts))
-    return components(cut_lineage(_verified(pivot_pairs(members), sets)))
+    joined = components(cut_lineage(_verified(pivot_pairs(members), sets)))
+    more = cut_lineage(_verified(open_pairs(members, joined), sets))
+    return joined if more.isEmpty() else components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
