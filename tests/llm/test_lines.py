@@ -107,3 +107,29 @@ def test_large_bucket_without_its_links_at_the_pivots(spark, monkeypatch):
     for tile in (1024, 8):
         monkeypatch.setattr(lines, "TILE", tile, raising=False)
         assert {(r["doc_id"], r["line_no"]): (r["first_id"], r["first_line_no"]) for r in lines.dedup_lines(df).collect()} == want
+
+
+def test_near_copies_by_characters(spark, monkeypatch):
+    """Near copies of many words that only shingles from every character hold similar, against brute force by these."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    made = []
+    for _ in range(5):
+        plain = [word(10) for _ in range(15)]
+        urls = [f"https://example.org/{word(20)}/{word(9)}" for _ in range(14)]
+        phrases = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(30)) for _ in range(12)]
+        made += [" ".join(plain), " ".join([*plain[:6], "Z" + plain[6][1:], *plain[7:]])]
+        made += [" ".join(urls), " ".join([urls[0] + "x", *urls[1:9], urls[9] + "y", *urls[10:]])]
+        made += [" ".join(phrases), " ".join(["\U0001f600" + phrases[0][1:], *phrases[1:5], "z" + phrases[5][1:], *phrases[6:]])]
+    made += ["-" * 300, "-" * 301, "=-" * 150]
+    rows = list(enumerate(made))
+
+    def similar_by_characters(a, b):
+        x, y = shingles(a, True), shingles(b, True)
+        return len(x & y) >= 0.8 * len(x | y)
+
+    monkeypatch.setitem(globals(), "similar", similar_by_characters)
+    want = brute(rows)
+    assert len(set(want.values())) == 17
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["first_id"], r["first_line_no"]) for r in got} == want

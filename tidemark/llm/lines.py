@@ -1,11 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only (operator 10).
 
-A line's shingles are the characters from each word's start to the AHEAD-th of the next
-word; a line of few words has those of SHINGLE characters from every character. One hash of
-each shingle gives a one-permutation MinHash: hash space is cut into BANDS * ROWS bins, of
-each of which the least hash counts, and ROWS of those are a band. Two lines of Jaccard
-similarity s share a given band with probability about s^ROWS, so at 0.8 they share one of
-the BANDS with probability 0.986.
+A line's shingles are the SHINGLE characters from every one of its characters. One hash of
+each gives a one-permutation MinHash: hash space is cut into BANDS * ROWS bins, of each of
+which the least hash counts, and ROWS of those are a band. Two lines of Jaccard similarity
+s share a given band with probability about s^ROWS, so at 0.8 they share one of the BANDS
+with probability 0.986.
 
 Lines that share a band form a bucket; equal lines are one node from the start. First its
 PIVOTS most central lines, those that share the most and largest buckets, are compared with
@@ -24,25 +23,34 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 from .components import components
 
-SHINGLE, AHEAD, BANDS, ROWS, PIVOTS, SIMILARITY = 9, 3, 6, 3, 4, 0.8
-#: Lines of at most FEW words have shingles at every character; those of FEW_SPARSE or more have (also) those at word starts.
-FEW, FEW_SPARSE = 10, 7
+SHINGLE, BANDS, ROWS, PIVOTS, SIMILARITY = 9, 6, 3, 4, 0.8
+#: 64-bit words of a sketch, bytes of a character in UTF-32.
+SKETCH, WIDE = 8, 4
 #: Lines in one part of a large bucket.
 TILE = 1024
 #: White space within lines.
 BLANKS = " \t\x0b\x0c\r"
 
 
-def dense(line: Column) -> Column:
+def last_start(line: Column) -> Column:
+    return F.greatest(F.char_length(line) - SHINGLE, F.lit(0))
+
+
+def shingle(wide: Column, start: Column) -> Column:
+    """Hash of the shingle from one character of a line in UTF-32, where it is found without counting through the line."""
+    return F.xxhash64(F.substring(wide, start * WIDE + 1, F.lit(WIDE * SHINGLE)))
+
+
+def shingles(line: Column) -> Column:
     """Hashed shingles from every character; of the line itself if it is shorter."""
-    return F.when(F.length(line) <= SHINGLE, F.array(F.xxhash64(line))).otherwise(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
+    return F.transform(F.array(F.encode(line, "UTF-32")), lambda w: F.transform(F.sequence(F.lit(0), last_start(line)), lambda i: shingle(w, i)))[0]
 
 
-def sparse(line: Column) -> Column:
-    """Hashed shingles from every word's start; as many as words, blanks in a row counting as words between them."""
-    other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
-    words = F.split(F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ")
-    return F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, F.substring(F.coalesce(b, F.lit("")), 1, AHEAD))))[0]
+def shingle_rows(lines: DataFrame) -> DataFrame:
+    """(_key, _h): shingles() in rows, in generated code."""
+    wide = lines.select("_key", F.encode("_line", "UTF-32").alias("_wide"), F.sequence(F.lit(0), last_start(F.col("_line"))).alias("_starts"))
+    wide = wide.select("_key", "_wide", F.explode("_starts").alias("_start"))
+    return wide.select("_key", shingle(F.col("_wide"), F.col("_start")).alias("_h"))
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,53 +59,49 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.ltrim(F.col("_line"), F.lit(BLANKS)) != "")
 
 
-def bitmap(hashes: Column) -> Column:
-    """64 bits, each flipped by the hashes that fall to it: sets that differ in k hashes differ in k bits at most."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+def sketches(texts: DataFrame) -> DataFrame:
+    """(_key, _n, _x0, ...) from (_key, _line): a count that is no less than the shingles', and bits set by them: sets that differ in k shingles differ in k bits at most."""
+    word, bit = F.shiftrightunsigned("_h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_h").bitwiseAND(F.lit(63)).cast("int"))
+    bits = [F.bit_or(F.when(F.col("_word") == i, F.col("_bit"))) for i in range(SKETCH)]
+    return shingle_rows(texts).select("_key", word.alias("_word"), bit.alias("_bit")).groupBy("_key").agg(F.count("*").alias("_n"), *[F.coalesce(b, F.lit(0).cast("long")).alias(f"_x{i}") for i, b in enumerate(bits)])
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(_key, _few, _many, and of each size and bitmap) from (_key, _line); _few is null for lines of many words."""
-    made = texts.select("_key", "_line", sparse(F.col("_line")).alias("_s"))
-    few = F.when(F.size("_s") <= FEW, F.array_distinct(dense(F.col("_line"))))
-    made = made.select("_key", few.alias("_few"), F.array_distinct("_s").alias("_many"))
-    sketch = [v.alias(c) for s in ("_few", "_many") for c, v in ((f"{s}_n", F.size(s)), (f"{s}_x", bitmap(F.col(s))))]
-    return made.select("_key", "_few", "_many", *sketch)
+def _side(name: str, marks: DataFrame) -> DataFrame:
+    return marks.select(*[F.col(c).alias(name + c) for c in marks.columns])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose lines are similar enough.
+def may_be_near(u: str, v: str) -> Column:
+    """Whether the sketches of two lines allow them to be similar.
 
-    Similarity t allows sizes a and b a difference of (a + b) (1 - t) / (1 + t) shingles.
-    Pairs whose bitmaps differ in more bits can't reach it and are ruled out by sketches
-    alone; for the rest the sets themselves are compared.
+    Similarity t allows sizes a and b a difference of (a + b) (1 - t) / (1 + t) shingles;
+    lines whose sketches differ in more bits can't reach it.
     """
-    side = lambda k, cols: sets.select(F.col("_key").alias(k), *[F.col(c).alias(k + c) for c in cols])
-    kind = lambda s: F.when(F.col("u_few" + s).isNotNull() & F.col("v_few" + s).isNotNull(), F.struct(F.col("u_few" + s).alias("u"), F.col("v_few" + s).alias("v"))).otherwise(F.struct(F.col("u_many" + s).alias("u"), F.col("v_many" + s).alias("v")))
-    sketch = ["_few_n", "_few_x", "_many_n", "_many_x"]
-    near = pairs.join(side("u", sketch), "u").join(side("v", sketch), "v")
-    near = near.select("u", "v", F.when(F.col("u_few_x").isNotNull() & F.col("v_few_x").isNotNull(), F.col("u_few_n") + F.col("v_few_n")).otherwise(F.col("u_many_n") + F.col("v_many_n")).alias("_n"), kind("_x").alias("_x"))
-    near = near.where(F.bit_count(F.col("_x.u").bitwiseXOR(F.col("_x.v"))) * (1 + SIMILARITY) <= F.col("_n") * (1 - SIMILARITY) + 1e-6).select("u", "v", "_n")
-    both = near.join(side("u", ["_few", "_many"]), "u").join(side("v", ["_few", "_many"]), "v").select("u", "v", "_n", kind("").alias("_s"))
-    both = both.select("u", "v", "_n", F.size(F.array_intersect("_s.u", "_s.v")).alias("_shared"))
-    return both.where(F.col("_shared") >= SIMILARITY * (F.col("_n") - F.col("_shared"))).select("u", "v")
+    differ = sum((F.bit_count(F.col(f"{u}_x{i}").bitwiseXOR(F.col(f"{v}_x{i}"))) for i in range(SKETCH)), F.lit(0))
+    return differ * (1 + SIMILARITY) <= (F.col(u + "_n") + F.col(v + "_n")) * (1 - SIMILARITY) + 1e-6
+
+
+def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that their sketches don't rule out."""
+    return pairs.join(_side("u", marks), F.col("u") == F.col("u_key")).join(_side("v", marks), F.col("v") == F.col("v_key")).where(may_be_near("u", "v")).select("u", "v")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose lines are similar enough, by the shingles themselves."""
+    both = pairs.join(_side("u", texts), F.col("u") == F.col("u_key")).join(_side("v", texts), F.col("v") == F.col("v_key"))
+    sets = both.select("u", "v", F.array_distinct(shingles(F.col("u_line"))).alias("_a"), F.array_distinct(shingles(F.col("v_line"))).alias("_b"))
+    counts = sets.select("u", "v", (F.size("_a") + F.size("_b")).alias("_n"), F.size(F.array_intersect("_a", "_b")).alias("_shared"))
+    return counts.where(F.col("_shared") >= SIMILARITY * (F.col("_n") - F.col("_shared"))).select("u", "v")
 
 
 def buckets(lines: DataFrame) -> DataFrame:
     """(_band, _key) of every bucket with more than one line, from lines (_key, _line)."""
-    signed = lines.select("_key", "_line", sparse(F.col("_line")).alias("_s"))
-    kinds = F.array(
-        F.when(F.size("_s") >= FEW_SPARSE, F.struct(F.lit(1).alias("_kind"), F.col("_s").alias("_hashes"))),
-        F.when(F.size("_s") <= FEW, F.struct(F.lit(0).alias("_kind"), dense(F.col("_line")).alias("_hashes"))),
-    )
-    hashed = signed.select("_key", F.inline(F.filter(kinds, lambda k: k.isNotNull()))).select("_key", "_kind", F.explode("_hashes").alias("_h"))
     bins = BANDS * ROWS
-    one = hashed.withColumn("_bin", F.floor(F.shiftrightunsigned("_h", 32) * bins / (1 << 32)).cast("int")).withColumn("_low_half", (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
+    one = shingle_rows(lines).select("_key", F.floor(F.shiftrightunsigned("_h", 32) * bins / (1 << 32)).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
     names = [f"_m{i}" for i in range(bins)]
-    # one row a line and kind from here on, equal lines being one; combined in each task before the shuffle.
+    # one row a line from here on, equal lines being one; combined in each task before the shuffle.
     # The bin is the hash's high half, so the low half, as an integer, orders and tells hashes apart within it
-    least = one.groupBy("_key", "_kind").agg(*[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(c) for i, c in enumerate(names)])
-    band = lambda b: F.when(F.coalesce(*names[ROWS * b : ROWS * b + ROWS]).isNotNull(), F.xxhash64("_kind", F.lit(b), *[F.coalesce(c, F.lit(b)) for c in names[ROWS * b : ROWS * b + ROWS]]))
+    least = one.groupBy("_key").agg(*[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(c) for i, c in enumerate(names)])
+    band = lambda b: F.when(F.coalesce(*names[ROWS * b : ROWS * b + ROWS]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(b)) for c in names[ROWS * b : ROWS * b + ROWS]]))
     keyed = least.select("_key", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("_band")).where(F.col("_band").isNotNull())
     # counts combine in each task, so a large bucket costs no more than its rows; the join's large partitions can be split
     shared = keyed.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_band").alias("_shared"))
@@ -116,8 +120,8 @@ def pivot_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("_key", "_pivot").alias("u"), F.least("_key", "_pivot").alias("v")).distinct()
 
 
-def open_pairs(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """(u, v), u > v: the lines of different components in each bucket that pivots didn't settle, once.
+def open_pairs(members: DataFrame, joined: DataFrame, marks: DataFrame) -> DataFrame:
+    """(u, v), u > v: the lines of different components in each bucket that pivots didn't settle, once, without those that sketches rule out.
 
     A bucket of more than TILE lines is cut into parts, and each two of them are a key of
     the join, so no key has more than TILE lines a side.
@@ -126,11 +130,13 @@ def open_pairs(members: DataFrame, joined: DataFrame) -> DataFrame:
     still = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_root").alias("_first"), F.max("_root").alias("_last")).where((F.col("_n") > PIVOTS + 1) & (F.col("_first") < F.col("_last")))
     still = still.select(F.col("_band").alias("_of"), F.ceil(F.col("_n") / TILE).cast("int").alias("_parts"))
     rows = named.join(still, F.col("_band") == F.col("_of")).select("_band", "_key", "_root", "_parts", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int").alias("_part"))
+    rows = rows.join(marks.withColumnRenamed("_key", "_marked"), F.col("_key") == F.col("_marked")).drop("_marked")
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
-    left = dealt.where("_part <= _other").select("_band", F.col("_part").alias("_i"), F.col("_other").alias("_j"), F.col("_key").alias("a"), F.col("_root").alias("_a_root"))
-    right = dealt.where("_other <= _part").select("_band", F.col("_other").alias("_i"), F.col("_part").alias("_j"), F.col("_key").alias("b"), F.col("_root").alias("_b_root"))
-    pairs = left.join(right, ["_band", "_i", "_j"]).where("_a_root <> _b_root and (_i < _j or a > b)")
-    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    held = ["_key", "_root", *marks.columns[1:]]
+    left = dealt.where("_part <= _other").select("_band", F.col("_part").alias("_i"), F.col("_other").alias("_j"), *[F.col(c).alias("a" + c) for c in held])
+    right = dealt.where("_other <= _part").select("_band", F.col("_other").alias("_i"), F.col("_part").alias("_j"), *[F.col(c).alias("b" + c) for c in held])
+    pairs = left.join(right, ["_band", "_i", "_j"]).where("a_root <> b_root and (_i < _j or a_key > b_key)").where(may_be_near("a", "b"))
+    return pairs.select(F.greatest("a_key", "b_key").alias("u"), F.least("a_key", "b_key").alias("v")).distinct()
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,10 +144,10 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     lines = line_table(docs, id_col, text_col).select(F.xxhash64("_line").alias("_key"), "_line")
     members = cut_lineage(buckets(lines))
     wanted = members.select(F.col("_key").alias("_want")).distinct()
-    texts = lines.join(wanted.hint("shuffle_hash"), F.col("_key") == F.col("_want"), "left_semi").groupBy("_key").agg(F.max("_line").alias("_line"))
-    sets = cut_lineage(shingle_sets(texts))
-    joined = components(cut_lineage(_verified(pivot_pairs(members), sets)))
-    more = cut_lineage(_verified(open_pairs(members, joined), sets))
+    texts = cut_lineage(lines.join(wanted.hint("shuffle_hash"), F.col("_key") == F.col("_want"), "left_semi").groupBy("_key").agg(F.max("_line").alias("_line")))
+    marks = cut_lineage(sketches(texts))
+    joined = components(cut_lineage(_verified(_sketched(pivot_pairs(members), marks), texts)))
+    more = cut_lineage(_verified(open_pairs(members, joined, marks), texts))
     return joined if more.isEmpty() else components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
 
