@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,12 @@ UNKNOWN = "unknown"
 COPIES, AROUND, SAMPLE, NGRAM, SEED = 60, 12, 2000, 3, 31
 #: Share of a template's trigrams that a paragraph must hold.
 CONTAINED = 0.6
+#: Words from one start of a wrapped notice to the next inside a run of template words.
+STRIDE = 24
 EPOCHS, RATE, DECAY = 300, 2.0, 1e-5
 
+#: Words that mark a comment's line; other marks are no words.
+_MARK = re.compile(r"\s*(?:dnl|rem)\s", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -71,6 +76,8 @@ class Model:
         self.bias = np.zeros(len(self.classes))
         self.temperature, self.threshold = 1.0, 0.5
         self.shapes = {f: [trigrams(tokens(t)) for t in ts] for f, ts in TEMPLATES.items()}
+        self.anchors = {g for ts in self.shapes.values() for t in ts for g in t}
+        self.window = max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts) + STRIDE
 
     def features(self, words: list[str]) -> list[int]:
         return [self.index[g] for g in grams(words) if g in self.index]
@@ -94,7 +101,9 @@ class Model:
 
     def judge(self, paragraph: str) -> tuple[str, float, bool] | None:
         """(family, probability, confirmed); None if unknown."""
-        words = tokens(paragraph)
+        return self.judge_words(tokens(paragraph))
+
+    def judge_words(self, words: list[str]) -> tuple[str, float, bool] | None:
         if self.first_words.isdisjoint(words):
             return None
         at = self.features(words)
@@ -106,6 +115,35 @@ class Model:
             return None
         return self.classes[best], float(p[best]), self.containment(words, self.classes[best]) >= CONTAINED
 
+    def wrapped(self, lines: list[str], sure: list[bool]) -> list[tuple[str, float, bool]]:
+        """Confirmed notices that go over line breaks of adjacent lines, none of which is sure by itself at its start.
+
+        From each word at which template words begin, the text to the end of each line within
+        reach is judged; the likeliest counts, and the next notice starts behind it.
+        """
+        words: list[str] = []
+        ends, taken = [], []
+        for line, known in zip(lines, sure, strict=True):
+            mark = _MARK.match(line)
+            new = tokens(line[mark.end() :] if mark else line)
+            words += new
+            taken += [known] * len(new)
+            ends.append(len(words))
+        hits = [i for i in range(len(words) - 1) if not taken[i] and (tuple(words[i : i + 3]) in self.anchors or tuple(words[i : i + 2]) in self.anchors)]
+        found, behind, last, start = [], 0, -2, -STRIDE
+        for h in hits:
+            begins, last = h != last + 1 or h >= start + STRIDE, h
+            if h < behind or not begins:
+                continue
+            start = h
+            own = next(e for e in ends if e > h)
+            stops = sorted({min(e, h + self.window) for e in ends[bisect_right(ends, own) : bisect_right(ends, h + self.window) + 1]})
+            judged = [(*got, stop) for stop in stops if stop > own and (got := self.judge_words(words[h:stop])) and got[2]]
+            if judged:
+                family, p, confirmed, behind = max(judged, key=lambda g: g[1])
+                found.append((family, p, confirmed))
+        return found
+
 
 def notices(ordinary: list[list[str]], rng: random.Random) -> tuple[list[list[str]], list[str]]:
     """Templates with words dropped, cropped and put among ordinary ones."""
@@ -170,7 +208,8 @@ def train(paragraphs: list[str]) -> Model:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_paragraphs, n_notices, licences, best_licence, best_probability, n_unconfirmed.
 
-    A paragraph is a line with a word. licences are the families of confirmed notices,
+    A paragraph is a line with a word. A notice that is wrapped over adjacent lines, with
+    comment marks or not, is found in their joined words and counts as one. licences are the families of confirmed notices,
     sorted, comma-joined ("" without any); best_licence is the family of the likeliest
     (ties: first in the text), null without any; n_unconfirmed counts paragraphs that the
     classifier named but no template confirmed. Null and empty texts have no paragraphs.
@@ -192,8 +231,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            lines = [x for x in (bytes(t).decode("utf-8", "replace") if t is not None else "").split("\n") if x.strip(" \t\r\x0b\x0c")]
-            found = [got for x in lines if (got := model.judge(x))]
+            every = (bytes(t).decode("utf-8", "replace") if t is not None else "").split("\n")
+            lines = [x for x in every if x.strip(" \t\r\x0b\x0c")]
+            found, near = [], []
+            for x in [*every, ""]:
+                if not _WORD.search(x):
+                    found += model.wrapped([n[0] for n in near], [n[1] for n in near]) if len(near) > 1 else []
+                    near = []
+                    continue
+                if got := model.judge(x):
+                    found.append(got)
+                near.append((x, bool(got and got[2])))
             sure = [f for f in found if f[2]]
             best = max(sure, key=lambda f: f[1], default=(None, None))
             rows.append((len(lines), len(sure), ",".join(sorted({f[0] for f in sure})), best[0], best[1], len(found) - len(sure)))
