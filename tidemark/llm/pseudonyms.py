@@ -27,10 +27,13 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 DAY = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{7,15}(?!\d)|\+\d{1,3}(?:[ -]\d{2,4}){2,4}(?!\d|\.\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[-.]\d{3}[-.]\d{4}(?!\d))"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}(?:[ -]\d{4}){1,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{7,15}(?!\d)|\+1[ -]\d{3}[ -]\d{3}[ -]\d{4}(?!\d|\.\d)|\+\d{1,3}[ -]\d{2,4}[ -]\d{5,8}(?!\d|\.\d)|\+\d{1,3}(?:[ -]\d{2,4}){1,3}(?:[ -]\d{3,4}|(?<![ -]\d{4})[ -]\d{2})(?!\d|\.\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[-.]\d{3}[-.]\d{4}(?!\d))"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}(?:[ -]\d{4}){1,2}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 KINDS = {"email": EMAIL, "iban": IBAN, "ipv4": IPV4, "date": DAY, "ssn": SSN, "phone": PHONE, "card": CARD}
 FOUND = "|".join(KINDS.values())
+#: Trailing groups that may be no part of a card or an account, and the lengths of accounts by country.
+TAILS = 6
+IBAN_LENGTHS = {n: c.split() for n, c in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC"}.items()}
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -104,6 +107,28 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def valid_part(m: Column) -> Column:
+    """(m, kind, rest): the match if it is valid; else its longest valid card or account before trailing groups, which are the rest.
+
+    Where 16 digits in fours are a card and one or two digits more would also make one, the 16 are taken.
+    """
+    def shorter(n: int) -> Column:
+        part = F.regexp_replace(m, rf"(?:[ -][A-Z0-9]{{1,6}}){{{n}}}$", "")
+        compact = F.replace(part, F.lit(" "), F.lit(""))
+        right = F.lit(False)
+        for size, countries in IBAN_LENGTHS.items():
+            right = right | ((F.length(compact) == size) & F.substring(compact, 1, 2).isin(countries))
+        return F.when((part != m) & (right | ~part.rlike("^[A-Z]")), part)
+
+    def named(part: Column) -> Column:
+        return let(kind_of(part), lambda k: F.struct(part.alias("m"), k.alias("kind"), F.substring(m, F.length(part) + 1, F.length(m)).alias("rest")))
+
+    parts = F.filter(F.array(*[shorter(n) for n in range(1, TAILS + 1)]), lambda p: p.isNotNull())
+    less = F.get(F.filter(F.transform(parts, named), lambda s: s["kind"].isin("card", "iban")), F.lit(0))
+    more = m.rlike(r"^\d{4}(?:[ -]\d{4}){3}[ -]\d{1,2}$")
+    return let(named(m), lambda s: F.when((s["kind"].isNotNull() & ~more) | ~m.rlike("^(?:[A-Z]{2})?[0-9]{2,}[ -]?.*[ -]"), s).otherwise(F.coalesce(less, s)))
+
+
 def fixed_head(m: Column, kind: Column) -> Column:
     """What stays at the start: a telephone's country code; an account's country and check digits, which are made anew."""
     return F.when(kind == "phone", F.regexp_extract(m, r"^(?:\+\d{1,3}(?=[ .(-]))?", 0)).when(kind == "iban", F.substring(m, 1, 4)).otherwise("")
@@ -199,10 +224,11 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = F.regexp_extract_all("_text", F.lit(FOUND), F.lit(0))
     rows = rows.select("_id", "_text", F.when(F.col("_text").rlike(FOUND), found).alias("_found"))
-    kinds = F.transform("_found", lambda m: let(kind_of(m), lambda k: F.struct(m.alias("m"), k.alias("kind"), fixed_head(m, k).alias("head"), fixed_tail(m, k).alias("tail"))))
-    named = F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["head"].alias("head"), s["tail"].alias("tail"), components_of(s).alias("from")))
-    moved = F.transform(named, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["head"].alias("head"), s["tail"].alias("tail"), permute(s["from"], s["kind"], key).alias("to")))
-    spelt = F.transform(moved, lambda s: F.struct(s["kind"].alias("kind"), spell(s).alias("to")))
+    whole = F.transform("_found", valid_part)
+    kinds = F.transform(whole, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["rest"].alias("rest"), fixed_head(s["m"], s["kind"]).alias("head"), fixed_tail(s["m"], s["kind"]).alias("tail")))
+    named = F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["rest"].alias("rest"), s["head"].alias("head"), s["tail"].alias("tail"), components_of(s).alias("from")))
+    moved = F.transform(named, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["rest"].alias("rest"), s["head"].alias("head"), s["tail"].alias("tail"), permute(s["from"], s["kind"], key).alias("to")))
+    spelt = F.transform(moved, lambda s: F.struct(s["kind"].alias("kind"), F.concat(spell(s), s["rest"]).alias("to")))
     rows = rows.select("_id", "_text", F.when(F.col("_found").isNotNull(), spelt).alias("_new"))
     gaps = F.split("_text", FOUND, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform("_new", lambda s: s["to"]), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
