@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, forget, over
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
     themselves and pairs of one node with itself don't appear; nulls are dropped.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    seen = last = None
     while True:
         now = cut_lineage(now)
+        if last is not None:
+            forget(last)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if sums == seen or sums["n"] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = sums
+            return over(now, now.select(F.col("u").alias("node"), F.col("v").alias("root")))
+        seen, last = sums, now
         now = _stars(now)

@@ -1,18 +1,18 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only (operator 10).
 
-A line's shingles are the SHINGLE characters from every one of its characters. One hash of
-each gives a one-permutation MinHash: hash space is cut into BANDS * ROWS bins, of each of
-which the least hash counts, and ROWS of those are a band. Two lines of Jaccard similarity
-s share a given band with probability about s^ROWS, so at 0.8 they share one of the BANDS
-with probability 0.986.
-
-Lines that share a band form a bucket; equal lines are one node from the start. First its
-PIVOTS most central lines, those that share the most and largest buckets, are compared with
-every line of it by exact Jaccard. That checks every pair in buckets of up to PIVOTS + 1
-lines, and in larger ones, which mostly are families of copies, finds the line that the
-others derive from. A larger bucket that still holds several components is then settled:
-all its pairs of lines of different components are compared, tile by tile. The components
-are those that all pairs of all buckets give; no family of copies is paired off.
+A line's shingles are the SHINGLE characters (UTF-16 units) from every one of its
+characters. One hash of each gives a one-permutation MinHash: hash space is cut into BINS
+bins, of each of which the least hash counts. A band is three bins: a line of the affine
+plane over them, twelve bands any two bins of which are in one. Lines share no band only if
+the bins in which they differ, five of nine at least, meet every band. At a Jaccard
+similarity of 0.8 that happens to less than 2 pairs in 100, and to fewer above.
+
+Lines that share a band form a bucket; equal lines are one node from the start. First every
+line of a bucket is compared with its most central one, that shares the most and largest
+buckets, by exact Jaccard. That settles buckets of two and most families of copies. A larger
+bucket that still holds several components is then settled: all its pairs of lines of
+different components are compared, tile by tile, those that a sketch rules out excepted.
+The components are those that all pairs of all buckets give; no family is paired off.
 """
 
 from __future__ import annotations
@@ -20,36 +20,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, forget, join_dealt
 from .components import components
 
-SHINGLE, BANDS, ROWS, PIVOTS, SIMILARITY = 9, 6, 3, 4, 0.8
-#: 64-bit words of a sketch, bytes of a character in UTF-32.
-SKETCH, WIDE = 8, 4
+SHINGLE, ORDER, SIMILARITY = 9, 3, 0.8
+BINS = ORDER * ORDER
+#: The lines of the affine plane: upright ones, then those of each slope.
+BANDS = [tuple(ORDER * x + y for y in range(ORDER)) for x in range(ORDER)]
+BANDS += [tuple(ORDER * x + (slope * x + at) % ORDER for x in range(ORDER)) for slope in range(ORDER) for at in range(ORDER)]
+#: 64-bit words of a sketch, bytes of a UTF-16 unit, words of the filter of wanted lines (two megabytes).
+SKETCH, WIDE, FILTER = 64, 2, 1 << 18
 #: Lines in one part of a large bucket.
 TILE = 1024
 #: White space within lines.
 BLANKS = " \t\x0b\x0c\r"
 
 
-def last_start(line: Column) -> Column:
-    return F.greatest(F.char_length(line) - SHINGLE, F.lit(0))
+def last_start(wide: Column) -> Column:
+    """Where the last shingle of a line in UTF-16 begins."""
+    return F.greatest((F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0))
 
 
 def shingle(wide: Column, start: Column) -> Column:
-    """Hash of the shingle from one character of a line in UTF-32, where it is found without counting through the line."""
+    """Hash of the shingle from one unit of a line in UTF-16, where it is found without counting through the line."""
     return F.xxhash64(F.substring(wide, start * WIDE + 1, F.lit(WIDE * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
     """Hashed shingles from every character; of the line itself if it is shorter."""
-    return F.transform(F.array(F.encode(line, "UTF-32")), lambda w: F.transform(F.sequence(F.lit(0), last_start(line)), lambda i: shingle(w, i)))[0]
+    return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda w: F.transform(F.sequence(F.lit(0), last_start(w)), lambda i: shingle(w, i)))[0]
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
     """(_key, _h): shingles() in rows, in generated code."""
-    wide = lines.select("_key", F.encode("_line", "UTF-32").alias("_wide"), F.sequence(F.lit(0), last_start(F.col("_line"))).alias("_starts"))
-    wide = wide.select("_key", "_wide", F.explode("_starts").alias("_start"))
+    wide = lines.select("_key", F.encode("_line", "UTF-16BE").alias("_wide"))
+    wide = wide.select("_key", "_wide", F.explode(F.sequence(F.lit(0), last_start(F.col("_wide")))).alias("_start"))
     return wide.select("_key", shingle(F.col("_wide"), F.col("_start")).alias("_h"))
 
 
@@ -80,57 +85,56 @@ def may_be_near(u: str, v: str) -> Column:
     return differ * (1 + SIMILARITY) <= (F.col(u + "_n") + F.col(v + "_n")) * (1 - SIMILARITY) + 1e-6
 
 
-def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) that their sketches don't rule out."""
-    return pairs.join(_side("u", marks), F.col("u") == F.col("u_key")).join(_side("v", marks), F.col("v") == F.col("v_key")).where(may_be_near("u", "v")).select("u", "v")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose lines are similar enough, by the shingles themselves."""
-    both = pairs.join(_side("u", texts), F.col("u") == F.col("u_key")).join(_side("v", texts), F.col("v") == F.col("v_key"))
+    """Those of the written pairs (u, v) whose lines are similar enough, by the shingles themselves."""
+    u, v = (texts.select(F.col("_key").alias(c), F.col("_line").alias(c + "_line")) for c in "uv")
+    both = join_dealt(join_dealt(pairs, u, "u"), v, "v", counts=pairs.groupBy("v").agg(F.count("*").alias("_n")))
     sets = both.select("u", "v", F.array_distinct(shingles(F.col("u_line"))).alias("_a"), F.array_distinct(shingles(F.col("v_line"))).alias("_b"))
     counts = sets.select("u", "v", (F.size("_a") + F.size("_b")).alias("_n"), F.size(F.array_intersect("_a", "_b")).alias("_shared"))
     return counts.where(F.col("_shared") >= SIMILARITY * (F.col("_n") - F.col("_shared"))).select("u", "v")
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(_band, _key) of every bucket with more than one line, from lines (_key, _line)."""
-    bins = BANDS * ROWS
-    one = shingle_rows(lines).select("_key", F.floor(F.shiftrightunsigned("_h", 32) * bins / (1 << 32)).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
-    names = [f"_m{i}" for i in range(bins)]
+def signatures(lines: DataFrame) -> DataFrame:
+    """(_key, _b0, ...): the bands of each line (_key, _line); null where all its bins are empty."""
+    one = shingle_rows(lines).select("_key", F.floor(F.shiftrightunsigned("_h", 32) * BINS / (1 << 32)).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
     # one row a line from here on, equal lines being one; combined in each task before the shuffle.
     # The bin is the hash's high half, so the low half, as an integer, orders and tells hashes apart within it
-    least = one.groupBy("_key").agg(*[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(c) for i, c in enumerate(names)])
-    band = lambda b: F.when(F.coalesce(*names[ROWS * b : ROWS * b + ROWS]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(b)) for c in names[ROWS * b : ROWS * b + ROWS]]))
-    keyed = least.select("_key", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("_band")).where(F.col("_band").isNotNull())
-    # counts combine in each task, so a large bucket costs no more than its rows; the join's large partitions can be split
-    shared = keyed.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_band").alias("_shared"))
-    return keyed.join(shared.hint("shuffle_hash"), F.col("_band") == F.col("_shared"), "left_semi")
-
-
-def pivot_pairs(members: DataFrame) -> DataFrame:
-    """(u, v), u > v: every line of a bucket with each of its pivots, once."""
-    sizes = members.groupBy("_band").agg(F.count("*").alias("_n")).withColumnRenamed("_band", "_of")
-    sized = members.join(sizes, F.col("_band") == F.col("_of")).select("_band", "_key", "_n")
-    central = sized.groupBy("_key").agg(F.sum("_n").alias("_weight")).withColumnRenamed("_key", "_line_key")
-    weighed = sized.join(central, F.col("_key") == F.col("_line_key")).select("_band", "_key", "_weight")
-    rank = F.row_number().over(Window.partitionBy("_band").orderBy(F.desc("_weight"), "_key"))
-    pivots = weighed.withColumn("_rank", rank).where(F.col("_rank") <= PIVOTS).select(F.col("_band").alias("_of"), F.col("_key").alias("_pivot"))
-    pairs = members.join(pivots, F.col("_band") == F.col("_of")).where("_key <> _pivot")
+    least = one.groupBy("_key").agg(*[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(f"_m{i}") for i in range(BINS)])
+    bands = [F.when(F.coalesce(*[f"_m{i}" for i in band]).isNotNull(), F.xxhash64(F.lit(k), *[f"_m{i}" for i in band])).alias(f"_b{k}") for k, band in enumerate(BANDS)]
+    return least.select("_key", *bands)
+
+
+def buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets with more than one line, from written signatures: (_band, _key, _n) for each line in them, and (_band, _n)."""
+    keyed = signed.select("_key", F.explode(F.array(*[f"_b{k}" for k in range(len(BANDS))])).alias("_band")).where(F.col("_band").isNotNull())
+    # counts combine in each task, so a large bucket costs no more than its rows
+    shared = cut_lineage(keyed.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1"))
+    return cut_lineage(join_dealt(keyed, shared, "_band", counts=shared)), shared
+
+
+def pivot_pairs(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """(u, v), u > v: every line of a bucket with its most central line, once."""
+    weight = members.groupBy("_key").agg(F.sum("_n").alias("_weight"))
+    pivots = members.join(weight, "_key").groupBy("_band").agg(F.max(F.struct("_weight", "_key")).alias("_top")).select("_band", F.col("_top._key").alias("_pivot"))
+    pairs = join_dealt(members, pivots, "_band", counts=shared).where("_key <> _pivot")
     return pairs.select(F.greatest("_key", "_pivot").alias("u"), F.least("_key", "_pivot").alias("v")).distinct()
 
 
-def open_pairs(members: DataFrame, joined: DataFrame, marks: DataFrame) -> DataFrame:
-    """(u, v), u > v: the lines of different components in each bucket that pivots didn't settle, once, without those that sketches rule out.
+def open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(_band, _key, _root, _parts): lines of the buckets of three or more that still hold several components."""
+    named = members.join(joined, F.col("_key") == F.col("node"), "left").select("_band", "_key", F.coalesce("root", "_key").alias("_root"))
+    still = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_root").alias("_first"), F.max("_root").alias("_last")).where("_n > 2 and _first < _last")
+    still = cut_lineage(still.select("_band", "_n", F.ceil(F.col("_n") / TILE).cast("int").alias("_parts")))
+    return join_dealt(named, still.drop("_n"), "_band", counts=still.select("_band", "_n"))
+
+
+def open_pairs(still: DataFrame, marks: DataFrame) -> DataFrame:
+    """(u, v), u > v: the lines of different components in each open bucket, once, without those that sketches rule out.
 
     A bucket of more than TILE lines is cut into parts, and each two of them are a key of
     the join, so no key has more than TILE lines a side.
     """
-    named = members.join(joined.hint("shuffle_hash"), F.col("_key") == F.col("node"), "left").select("_band", "_key", F.coalesce("root", "_key").alias("_root"))
-    still = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_root").alias("_first"), F.max("_root").alias("_last")).where((F.col("_n") > PIVOTS + 1) & (F.col("_first") < F.col("_last")))
-    still = still.select(F.col("_band").alias("_of"), F.ceil(F.col("_n") / TILE).cast("int").alias("_parts"))
-    rows = named.join(still, F.col("_band") == F.col("_of")).select("_band", "_key", "_root", "_parts", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int").alias("_part"))
-    rows = rows.join(marks.withColumnRenamed("_key", "_marked"), F.col("_key") == F.col("_marked")).drop("_marked")
+    rows = still.join(marks, "_key").withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
     held = ["_key", "_root", *marks.columns[1:]]
     left = dealt.where("_part <= _other").select("_band", F.col("_part").alias("_i"), F.col("_other").alias("_j"), *[F.col(c).alias("a" + c) for c in held])
@@ -139,16 +143,40 @@ def open_pairs(members: DataFrame, joined: DataFrame, marks: DataFrame) -> DataF
     return pairs.select(F.greatest("a_key", "b_key").alias("u"), F.least("a_key", "b_key").alias("v")).distinct()
 
 
-def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root): lines, by 64-bit hash, that belong with another line, and the least of their component."""
-    lines = line_table(docs, id_col, text_col).select(F.xxhash64("_line").alias("_key"), "_line")
-    members = cut_lineage(buckets(lines))
-    wanted = members.select(F.col("_key").alias("_want")).distinct()
-    texts = cut_lineage(lines.join(wanted.hint("shuffle_hash"), F.col("_key") == F.col("_want"), "left_semi").groupBy("_key").agg(F.max("_line").alias("_line")))
-    marks = cut_lineage(sketches(texts))
-    joined = components(cut_lineage(_verified(_sketched(pivot_pairs(members), marks), texts)))
-    more = cut_lineage(_verified(open_pairs(members, joined, marks), texts))
-    return joined if more.isEmpty() else components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_key, _line), once, of the wanted lines.
+
+    A filter of one bit for each hash value modulo 64 * FILTER, of FILTER rows whatever the
+    corpus, is broadcast and keeps most other lines from the shuffle.
+    """
+    spot = F.shiftrightunsigned("_key", 6).bitwiseAND(F.lit(FILTER - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_key").bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.select(spot.alias("_spot"), bit.alias("_bit")).groupBy("_spot").agg(F.bit_or("_bit").alias("_bits"))
+    likely = lines.withColumn("_at", spot).join(F.broadcast(bits), (F.col("_at") == F.col("_spot")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
+    return likely.select("_key", "_line").distinct().join(keys, "_key", "left_semi")
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(node, root): of lines (_key, _line), keyed by 64-bit hash, those that belong with another line, and the least of their component."""
+    signed = cut_lineage(signatures(lines))
+    members, shared = buckets(signed)
+    forget(signed)
+    keys = cut_lineage(members.select("_key").distinct())
+    texts = cut_lineage(texts_of(lines, keys))
+    pairs = cut_lineage(pivot_pairs(members, shared))
+    near = cut_lineage(_verified(pairs, texts))
+    joined = components(near)
+    still = cut_lineage(open_buckets(members, joined))
+    done = [members, shared, keys, pairs, near, still, texts]
+    if still.isEmpty():
+        forget(*done)
+        return joined
+    marks = cut_lineage(sketches(texts.join(still.select("_key").distinct(), "_key", "left_semi")))
+    more_pairs = cut_lineage(open_pairs(still, marks))
+    more = cut_lineage(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_verified(more_pairs, texts)))
+    every = components(more)
+    forget(*done, marks, more_pairs, more, joined)
+    return every
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,13 +188,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts, and lines without a word, have no row and aren't touched. Other columns are
     ignored; an empty table gives no rows.
     """
-    every = line_table(docs, id_col, text_col).select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key"))
-    classes = line_classes(docs, id_col=id_col, text_col=text_col)
-    named = every.join(classes.hint("shuffle_hash"), F.col("_key") == F.col("node"), "left").select("_doc", "_copy", "_no", F.coalesce("root", "_key").alias("_class"))
-    named = cut_lineage(named)
-    first = named.groupBy("_class").agg(F.min(F.struct("_doc", "_no", "_copy")).alias("_first")).withColumnRenamed("_class", "_of")
+    lines = line_table(docs, id_col, text_col)
+    every = cut_lineage(lines.select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key")))
+    classes = line_classes(lines.select(F.xxhash64("_line").alias("_key"), "_line"))
+    least = every.groupBy("_key").agg(F.min(F.struct("_doc", "_no", "_copy")).alias("_own"), F.count("*").alias("_n"))
+    named = cut_lineage(least.join(classes, F.col("_key") == F.col("node"), "left").select("_key", "_own", "_n", F.coalesce("root", "_key").alias("_class")))
+    shared = named.groupBy("_class").agg(F.min("_own").alias("_first"), F.count("*").alias("_lines")).where("_lines > 1")
+    shared = cut_lineage(shared)
+    firsts = join_dealt(named, shared.drop("_lines"), "_class", counts=shared.select("_class", F.col("_lines").alias("_n")), how="left")
+    firsts = cut_lineage(firsts.select("_key", "_n", F.coalesce("_first", "_own").alias("_first")))
     kept = F.col("_first").eqNullSafe(F.struct("_doc", "_no", "_copy"))
-    out = named.join(first.hint("shuffle_hash"), F.col("_class") == F.col("_of"))
+    out = join_dealt(every, firsts.drop("_n"), "_key", counts=firsts.select("_key", "_n"))
+    forget(classes, named, shared)
     return out.select(F.col("_doc").alias(id_col), F.col("_no").alias("line_no"), F.col("_first._doc").alias("first_id"), F.col("_first._no").alias("first_line_no"), kept.alias("kept"), "_copy")
 
 
