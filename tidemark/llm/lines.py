@@ -8,53 +8,56 @@ the bins in which they differ, five of nine at least, meet every band. At a Jacc
 similarity of 0.8 that happens to less than 2 pairs in 100, and to fewer above.
 
 Lines that share a band form a bucket; equal lines are one node from the start. First every
-line of a bucket is compared with its most central one, that shares the most and largest
-buckets, by exact Jaccard. That settles buckets of two and most families of copies. A larger
-bucket that still holds several components is then settled: all its pairs of lines of
+line of a bucket is compared with its PIVOTS most central ones, that share the most and
+largest buckets, by exact Jaccard. That settles small buckets and most families of copies. A
+larger bucket that still holds several components is then settled: all its pairs of lines of
 different components are compared, tile by tile, those that a sketch rules out excepted.
 The components are those that all pairs of all buckets give; no family is paired off.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, forget, join_dealt
 from .components import components
 
-SHINGLE, ORDER, SIMILARITY = 9, 3, 0.8
+SHINGLE, ORDER, PIVOTS, SIMILARITY = 9, 3, 4, 0.8
 BINS = ORDER * ORDER
 #: The lines of the affine plane: upright ones, then those of each slope.
 BANDS = [tuple(ORDER * x + y for y in range(ORDER)) for x in range(ORDER)]
 BANDS += [tuple(ORDER * x + (slope * x + at) % ORDER for x in range(ORDER)) for slope in range(ORDER) for at in range(ORDER)]
 #: 64-bit words of a sketch, bytes of a UTF-16 unit, words of the filter of wanted lines (two megabytes).
-SKETCH, WIDE, FILTER = 64, 2, 1 << 18
+SKETCH, WIDE, FILTER = 32, 2, 1 << 18
 #: Lines in one part of a large bucket.
 TILE = 1024
 #: White space within lines.
 BLANKS = " \t\x0b\x0c\r"
 
 
-def last_start(wide: Column) -> Column:
-    """Where the last shingle of a line in UTF-16 begins."""
-    return F.greatest((F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0))
+def shingle(wide: Column, start: Column) -> Column:
+    """Hash of the shingle from one byte of a line in UTF-16, where it is found without counting through the line."""
+    return F.xxhash64(F.substring(wide, start, F.lit(WIDE * SHINGLE)))
 
 
-def shingle(wide: Column, start: Column) -> Column:
-    """Hash of the shingle from one unit of a line in UTF-16, where it is found without counting through the line."""
-    return F.xxhash64(F.substring(wide, start * WIDE + 1, F.lit(WIDE * SHINGLE)))
+def starts(wide: Column) -> Column:
+    """The first byte of each of its shingles, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - WIDE * (SHINGLE - 1), F.lit(1)), F.lit(WIDE))
 
 
 def shingles(line: Column) -> Column:
     """Hashed shingles from every character; of the line itself if it is shorter."""
-    return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda w: F.transform(F.sequence(F.lit(0), last_start(w)), lambda i: shingle(w, i)))[0]
+    return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda w: F.transform(starts(w), lambda i: shingle(w, i)))[0]
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
     """(_key, _h): shingles() in rows, in generated code."""
     wide = lines.select("_key", F.encode("_line", "UTF-16BE").alias("_wide"))
-    wide = wide.select("_key", "_wide", F.explode(F.sequence(F.lit(0), last_start(F.col("_wide")))).alias("_start"))
+    wide = wide.select("_key", "_wide", F.explode(starts(F.col("_wide"))).alias("_start"))
     return wide.select("_key", shingle(F.col("_wide"), F.col("_start")).alias("_h"))
 
 
@@ -81,8 +84,12 @@ def may_be_near(u: str, v: str) -> Column:
     Similarity t allows sizes a and b a difference of (a + b) (1 - t) / (1 + t) shingles;
     lines whose sketches differ in more bits can't reach it.
     """
-    differ = sum((F.bit_count(F.col(f"{u}_x{i}").bitwiseXOR(F.col(f"{v}_x{i}"))) for i in range(SKETCH)), F.lit(0))
-    return differ * (1 + SIMILARITY) <= (F.col(u + "_n") + F.col(v + "_n")) * (1 - SIMILARITY) + 1e-6
+    words = [F.bit_count(F.col(f"{u}_x{i}").bitwiseXOR(F.col(f"{v}_x{i}"))) for i in range(SKETCH)]
+    most = ((F.col(u + "_n") + F.col(v + "_n")) * (1 - SIMILARITY) + 1e-6) / (1 + SIMILARITY)
+    near = F.lit(True)
+    for n in (4, 8, 16, SKETCH):  # a few words tell most lines apart; the rest are then not looked at
+        near = near & (reduce(add, words[:n]) <= most)
+    return near
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -96,7 +103,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(_key, _b0, ...): the bands of each line (_key, _line); null where all its bins are empty."""
-    one = shingle_rows(lines).select("_key", F.floor(F.shiftrightunsigned("_h", 32) * BINS / (1 << 32)).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
+    one = shingle_rows(lines).select("_key", F.shiftright(F.shiftrightunsigned("_h", 32) * BINS, 32).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
     # one row a line from here on, equal lines being one; combined in each task before the shuffle.
     # The bin is the hash's high half, so the low half, as an integer, orders and tells hashes apart within it
     least = one.groupBy("_key").agg(*[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(f"_m{i}") for i in range(BINS)])
@@ -113,17 +120,25 @@ def buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pivot_pairs(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """(u, v), u > v: every line of a bucket with its most central line, once."""
+    """(u, v), u > v: every line of a bucket with its PIVOTS most central lines, once."""
     weight = members.groupBy("_key").agg(F.sum("_n").alias("_weight"))
-    pivots = members.join(weight, "_key").groupBy("_band").agg(F.max(F.struct("_weight", "_key")).alias("_top")).select("_band", F.col("_top._key").alias("_pivot"))
-    pairs = join_dealt(members, pivots, "_band", counts=shared).where("_key <> _pivot")
+    rank = F.row_number().over(Window.partitionBy("_band").orderBy(F.desc("_weight"), "_key"))
+    pivots = members.join(weight, "_key").withColumn("_rank", rank).where(F.col("_rank") <= PIVOTS).groupBy("_band").agg(F.collect_list("_key").alias("_pivots"))  # PIVOTS keys at most
+    pairs = join_dealt(members, pivots, "_band", counts=shared).select("_key", F.explode("_pivots").alias("_pivot")).where("_key <> _pivot")
     return pairs.select(F.greatest("_key", "_pivot").alias("u"), F.least("_key", "_pivot").alias("v")).distinct()
 
 
+def sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the written pairs (u, v) that their sketches don't rule out."""
+    u, v = (marks.select(F.col("_key").alias(c), *[F.col(m).alias(c + m) for m in marks.columns[1:]]) for c in "uv")
+    both = join_dealt(join_dealt(pairs, u, "u"), v, "v", counts=pairs.groupBy("v").agg(F.count("*").alias("_n")))
+    return both.where(may_be_near("u", "v")).select("u", "v")
+
+
 def open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """(_band, _key, _root, _parts): lines of the buckets of three or more that still hold several components."""
+    """(_band, _key, _root, _parts): lines of the buckets of more than PIVOTS + 1 that still hold several components."""
     named = members.join(joined, F.col("_key") == F.col("node"), "left").select("_band", "_key", F.coalesce("root", "_key").alias("_root"))
-    still = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_root").alias("_first"), F.max("_root").alias("_last")).where("_n > 2 and _first < _last")
+    still = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_root").alias("_first"), F.max("_root").alias("_last")).where((F.col("_n") > PIVOTS + 1) & (F.col("_first") < F.col("_last")))
     still = cut_lineage(still.select("_band", "_n", F.ceil(F.col("_n") / TILE).cast("int").alias("_parts")))
     return join_dealt(named, still.drop("_n"), "_band", counts=still.select("_band", "_n"))
 
@@ -163,19 +178,16 @@ def line_classes(lines: DataFrame) -> DataFrame:
     forget(signed)
     keys = cut_lineage(members.select("_key").distinct())
     texts = cut_lineage(texts_of(lines, keys))
-    pairs = cut_lineage(pivot_pairs(members, shared))
+    marks = cut_lineage(sketches(texts))
+    first = cut_lineage(pivot_pairs(members, shared))
+    pairs = cut_lineage(sketched(first, marks))
     near = cut_lineage(_verified(pairs, texts))
     joined = components(near)
     still = cut_lineage(open_buckets(members, joined))
-    done = [members, shared, keys, pairs, near, still, texts]
-    if still.isEmpty():
-        forget(*done)
-        return joined
-    marks = cut_lineage(sketches(texts.join(still.select("_key").distinct(), "_key", "left_semi")))
     more_pairs = cut_lineage(open_pairs(still, marks))
     more = cut_lineage(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_verified(more_pairs, texts)))
     every = components(more)
-    forget(*done, marks, more_pairs, more, joined)
+    forget(members, shared, keys, texts, marks, first, pairs, near, joined, still, more_pairs, more)
     return every
 
 
@@ -192,13 +204,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     every = cut_lineage(lines.select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key")))
     classes = line_classes(lines.select(F.xxhash64("_line").alias("_key"), "_line"))
     least = every.groupBy("_key").agg(F.min(F.struct("_doc", "_no", "_copy")).alias("_own"), F.count("*").alias("_n"))
-    named = cut_lineage(least.join(classes, F.col("_key") == F.col("node"), "left").select("_key", "_own", "_n", F.coalesce("root", "_key").alias("_class")))
-    shared = named.groupBy("_class").agg(F.min("_own").alias("_first"), F.count("*").alias("_lines")).where("_lines > 1")
-    shared = cut_lineage(shared)
-    firsts = join_dealt(named, shared.drop("_lines"), "_class", counts=shared.select("_class", F.col("_lines").alias("_n")), how="left")
-    firsts = cut_lineage(firsts.select("_key", "_n", F.coalesce("_first", "_own").alias("_first")))
-    kept = F.col("_first").eqNullSafe(F.struct("_doc", "_no", "_copy"))
-    out = join_dealt(every, firsts.drop("_n"), "_key", counts=firsts.select("_key", "_n"))
+    named = least.join(classes.withColumn("_in", F.lit(True)), F.col("_key") == F.col("node"), "left").join(classes.select(F.col("root").alias("_root_key")).distinct(), F.col("_key") == F.col("_root_key"), "left")
+    # lines that occur once and are like no other stand for themselves and need no row
+    named = named.where("_n > 1 or _in or _root_key is not null").select("_key", "_own", "_n", F.coalesce("root", "_key").alias("_class"))
+    named = cut_lineage(named)
+    shared = cut_lineage(named.groupBy("_class").agg(F.min("_own").alias("_first"), F.count("*").alias("_n")))
+    firsts = cut_lineage(join_dealt(named, shared.drop("_n"), "_class", counts=shared.select("_class", "_n")).select("_key", "_n", "_first"))
+    own = F.struct("_doc", "_no", "_copy")
+    out = join_dealt(every, firsts.drop("_n"), "_key", counts=firsts.select("_key", "_n"), how="left").withColumn("_first", F.coalesce("_first", own))
+    kept = F.col("_first").eqNullSafe(own)
     forget(classes, named, shared)
     return out.select(F.col("_doc").alias(id_col), F.col("_no").alias("line_no"), F.col("_first._doc").alias("first_id"), F.col("_first._no").alias("first_line_no"), kept.alias("kept"), "_copy")
 
