@@ -13,7 +13,13 @@ largest norm, a vector x gets sqrt(R^2 - |x|^2), a query is scaled to norm R and
 The kd-tree's upper levels are fitted on a bounded sample and deal all vectors into cells;
 each cell has a tree of its own. A query is searched in its home cell first; the distance
 found there bounds which other cells it must visit. Cells and the queries that visit them
-are cut into parts of at most CELL_ROWS and QUERY_ROWS, so tasks are bounded.
+are cut into parts of about CELL_ROWS and QUERY_ROWS, so tasks are bounded. Queries walk a
+tree in blocks of neighbours, best leaves first; each query leaves out the leaves that its
+own test excludes.
+
+Vectors without structure, whose k-th neighbour is hardly nearer than any other row, can't
+be pruned by this or another test at such a recall; the work then grows with queries times
+rows.
 """
 
 from __future__ import annotations
@@ -26,9 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage
+from .common import cut_lineage
 
-M, P_STOP, LEAF, SEED = 8, 0.97, 128, 23
+M, P_STOP, LEAF, SEED = 16, 0.95, 256, 23
+#: Queries that walk a tree together.
+BLOCK = 128
+#: Rounding that a matrix product may show against a sum in fixed order, as a share of the norms.
+SLACK = 1e-12
 #: Rows, about, of the sample that the cells are fitted on, by the hash of their id; rows a part of a cell aims at; queries in a part; cells at most.
 SAMPLE_ROWS, CELL_ROWS, QUERY_ROWS, MOST_CELLS = 20_000, 25_000, 4_000, 4_096
 
@@ -101,7 +111,7 @@ class Cells:
 class Tree:
     """A kd-tree over projected rows: leaves in order, with their boxes."""
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, most: int = LEAF):
         self.order = np.arange(len(rows))
         self.ends: list[int] = [0]
         todo = [(0, len(rows))]
@@ -109,7 +119,7 @@ class Tree:
             a, b = todo.pop()
             part = rows[self.order[a:b]]
             axis = int(np.ptp(part, axis=0).argmax())
-            if b - a <= LEAF or np.ptp(part[:, axis]) == 0:
+            if b - a <= most or np.ptp(part[:, axis]) == 0:
                 self.ends.append(b)
                 continue
             mid = (b - a) // 2
@@ -123,37 +133,47 @@ class Tree:
         return (np.maximum(np.maximum(self.low - row, row - self.high), 0) ** 2).sum(axis=1)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, queries: list[tuple[int, np.ndarray, np.ndarray, float, float, float]], radius: float, k: int) -> list[tuple[int, int, float]]:
-    """Verified neighbours (query id, id, score) in one part of a cell.
+def search(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, qids: np.ndarray, queries: np.ndarray, projected: np.ndarray, bound: np.ndarray, scale: np.ndarray, base: float, radius: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified neighbours (place of the query, id, score) in one part of a cell.
 
-    near: projected rows. Each query is (id, vector, projected, bound, scale, base): bound is
-    the k-th squared distance known elsewhere, and base - scale * score the squared distance
-    that a score comes to.
+    near: projected rows. Of each query bound is the k-th squared distance known elsewhere,
+    and base - scale * score the squared distance that a score comes to. Scores are summed
+    in the order of the components, whatever the block.
     """
     tree = Tree(near)
-    near, vectors, ids = near[tree.order], vectors[tree.order], ids[tree.order]
-    begins, lengths = np.array(tree.ends[:-1]), np.diff(tree.ends)
+    vectors, ids = vectors[tree.order], ids[tree.order]
+    ends = np.array(tree.ends)
+    close = SLACK * np.linalg.norm(vectors, axis=1).max() * np.linalg.norm(queries, axis=1)
+    blocks = Tree(projected, BLOCK)
     out = []
-    for qid, q, y, bound, scale, base in queries:
-        leaf = tree.distances(y)
-        order = np.argsort(leaf, kind="stable")
-        best_s, best_i = np.zeros(0), np.zeros(0, ids.dtype)
-        at, take = 0, 2
-        while at < len(order) and leaf[order[at]] <= radius * bound:
-            now = order[at : at + take]
-            sizes = lengths[now]
-            rows = np.arange(sizes.sum()) + np.repeat(begins[now] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            rows = rows[((near[rows] - y) ** 2).sum(axis=1) <= radius * bound]
-            rows = rows[ids[rows] != qid]
-            best_s, best_i = np.concatenate([best_s, vectors[rows] @ q]), np.concatenate([best_i, ids[rows]])
-            if len(best_s) > k:
-                keep = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[keep], best_i[keep]
-            if len(best_s) == k:
-                bound = min(bound, max(0.0, base - scale * float(best_s.min())) * (1 + 1e-9) + 1e-12)
-            at, take = at + take, take * 2
-        out += [(qid, int(i), float(s)) for i, s in zip(best_i, best_s, strict=True)]
-    return out
+    for a, b in zip(blocks.ends, blocks.ends[1:]):  # noqa: B905
+        mine = blocks.order[a:b]
+        q, limit, kth = queries[mine], radius * bound[mine], (base - bound[mine]) / scale[mine]
+        leaf = np.stack([tree.distances(y) for y in projected[mine]])
+        who, found, score = np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0)
+        for at in np.argsort(leaf.mean(axis=0), kind="stable"):
+            asks = np.flatnonzero(leaf[:, at] <= limit)
+            if not len(asks):
+                continue
+            rows = slice(ends[at], ends[at + 1])
+            here, there = np.nonzero(q[asks] @ vectors[rows].T >= (kth[asks] - close[mine[asks]])[:, None])
+            here, there = asks[here], there + ends[at]
+            other = ids[there] != qids[mine[here]]
+            here, there = here[other], there[other]
+            if not len(here):
+                continue
+            who, found, score = np.r_[who, here], np.r_[found, ids[there]], np.r_[score, np.add.reduce(q[here] * vectors[there], axis=1)]
+            order = np.lexsort((found, -score, who))
+            who, found, score = who[order], found[order], score[order]
+            first = np.searchsorted(who, who)
+            keep = np.arange(len(who)) - first < k
+            who, found, score = who[keep], found[keep], score[keep]
+            full = np.flatnonzero(np.bincount(who, minlength=b - a) == k)
+            last = np.searchsorted(who, full, side="right") - 1
+            kth[full] = score[last]
+            limit[full] = np.minimum(limit[full], radius * (np.maximum(0, base - scale[mine[full]] * kth[full]) * (1 + 1e-9) + 1e-12))
+        out.append((mine[who], found, score))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def usable(vector: Column) -> Column:
@@ -167,11 +187,11 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_col:
 
     Rows whose vector isn't usable, whose id is null, or whose number of components isn't
     the commonest one (the least, at a tie) take no part. A query finds neither itself nor
-    rows of its own id. Of repeated rows (one id) each counts. Ties go to the smaller id.
+    rows of its own id. Of repeated candidates each counts; a repeated query asks once, and
+    one id's different query vectors each have their ranks. Ties go to the smaller id.
     Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    bound_batches(spark, 4096)
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     norm2 = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)
     shape = rows.groupBy(F.size("_v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm2).alias("top")).orderBy(F.desc("n"), "dim").first()
@@ -202,31 +222,32 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_col:
     sizes = cut_lineage(data.groupBy("_cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_parts")))  # a row for each cell
 
     def visits(queries: DataFrame) -> DataFrame:
-        """Searches each query (_id, _v, _bound, _cell) in its cell."""
+        """Searches each query (_id, _q, _v, _bound, _cell) in its cell."""
         asked_n = queries.groupBy("_cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("_asks"))
         tiles = sizes.join(asked_n, "_cell")
-        left = data.join(F.broadcast(tiles), "_cell").select("_cell", F.pmod(F.xxhash64("_id"), "_parts").cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)).alias("_ask"), "_id", "_v", F.lit(None).cast("double").alias("_bound"))
-        right = queries.join(F.broadcast(tiles), "_cell").select("_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.pmod(F.xxhash64("_id"), "_asks").cast("int").alias("_ask"), "_id", "_v", "_bound")
+        left = data.join(F.broadcast(tiles), "_cell").select("_cell", F.pmod(F.xxhash64("_id", "_v"), "_parts").cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)).alias("_ask"), "_id", F.lit(0).cast("long").alias("_q"), "_v", F.lit(None).cast("double").alias("_bound"))
+        right = queries.join(F.broadcast(tiles), "_cell").select("_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.pmod(F.xxhash64("_q"), "_asks").cast("int").alias("_ask"), "_id", "_q", "_v", "_bound")
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             asks = group["_bound"].notna()
             rows, queries = group[~asks], group[asks]
             if rows.empty or queries.empty:
-                return pd.DataFrame(columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                return pd.DataFrame(columns=["query_id", "_q", "vec_id", "score"]).astype({"query_id": "int64", "_q": "int64", "vec_id": "int64", "score": "float64"})
             x, q = np.stack(rows["_v"].to_numpy()), np.stack(queries["_v"].to_numpy())
-            y, norms = asked(q), np.linalg.norm(q, axis=1)
-            todo = [(int(i), v, p, float(b), 2 * top / n, 2 * top**2) for i, v, p, b, n in zip(queries["_id"], q, y, queries["_bound"], norms, strict=True)]
-            return pd.DataFrame(search(rows["_id"].to_numpy(np.int64), x, lifted(x), todo, radius, k), columns=["query_id", "vec_id", "score"])
+            qids, keys = queries["_id"].to_numpy(np.int64), queries["_q"].to_numpy(np.int64)
+            who, found, score = search(rows["_id"].to_numpy(np.int64), x, lifted(x), qids, q, asked(q), queries["_bound"].to_numpy(float), 2 * top / np.linalg.norm(q, axis=1), 2 * top**2, radius, k)
+            return pd.DataFrame({"query_id": qids[who], "_q": keys[who], "vec_id": found, "score": score})
 
-        return left.unionByName(right).groupBy("_cell", "_part", "_ask").applyInPandas(run, "query_id long, vec_id long, score double")
+        return left.unionByName(right).groupBy("_cell", "_part", "_ask").applyInPandas(run, "query_id long, _q long, vec_id long, score double")
 
-    queries = data.where(is_query(F.col("_id")))
+    # equal rows ask once; rows of one id with different vectors ask each for themselves
+    queries = data.where(is_query(F.col("_id"))).withColumn("_q", F.xxhash64("_id", "_v")).dropDuplicates(["_id", "_q"])
     first = cut_lineage(visits(queries.withColumn("_bound", F.lit(float("inf")))))
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("_s"))
+    by_query = Window.partitionBy("query_id", "_q").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") == k).select(F.col("_q").alias("_of"), F.col("score").alias("_s"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     bound = F.coalesce(F.greatest(F.lit(0.0), 2 * top**2 - 2 * top / norm * F.col("_s")) * (1 + 1e-9) + 1e-12, F.lit(float("inf")))
-    known = queries.join(kth, F.col("_id") == F.col("_q"), "left").withColumn("_bound", bound)
+    known = queries.join(kth, F.col("_q") == F.col("_of"), "left").withColumn("_bound", bound)
 
     @F.pandas_udf("array<int>")
     def others(v: pd.Series, bounds: pd.Series, own: pd.Series) -> pd.Series:
@@ -234,7 +255,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_col:
             return pd.Series([], dtype=object)
         return pd.Series([[i for i in np.flatnonzero(cells.distances(y) <= radius * b).tolist() if i != o] for y, b, o in zip(asked(np.stack(v.to_numpy())), bounds, own, strict=True)])
 
-    abroad = known.select("_id", "_v", "_bound", F.explode(others("_v", "_bound", "_cell")).alias("_cell"))
+    abroad = known.select("_id", "_q", "_v", "_bound", F.explode(others("_v", "_bound", "_cell")).alias("_cell"))
     found = first.unionByName(visits(abroad))
     ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
