@@ -13,12 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
-
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 512
 STRIDE = CHUNK - WIDTH + 1
-#: The bounded sample of labelled rows that the model is fitted on: documents of each class, and chunks of each document.
-SAMPLE_PER_CLASS, SAMPLE_CHUNKS = 2000, 8
+#: The bounded sample of labelled rows that the model is fitted on: documents of each class, none of which is longer than so many bytes.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 1 << 16
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 10, 1200, 32, 0.01, 17
 THRESHOLD = 0.7
 #: Chunks convolved at once.
@@ -32,13 +30,11 @@ def chunk_starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - CHUNK, STRIDE), n - CHUNK)
 
 
-def chunked(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks as rows of bytes, zero after a short text's end, and how many each text has (``most`` spread evenly, if given)."""
+def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks as rows of bytes, zero after a short text's end, and how many each text has."""
     at, counts, base = [], [], 0
     for t in texts:
         s = chunk_starts(len(t))
-        if most and len(s) > most:
-            s = s[np.linspace(0, len(s) - 1, most).astype(int)]
         at.append(s + base)
         counts.append(len(s))
         base += max(len(t), CHUNK)
@@ -79,8 +75,12 @@ class Network:
         return features, hidden, 1 / (1 + np.exp(-np.clip(hidden @ self.p["w2"] + self.p["b2"], -30, 30)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        chunks, counts = chunked(texts)
-        return self.head(self.pool(chunks), counts)[2]
+        """One text's chunks are pooled at a time, so memory grows with the longest text only."""
+        if not texts:
+            return np.zeros(0)
+        made = [chunked([t])[0] for t in texts]
+        pooled = np.concatenate([self.pool(c) for c in made])
+        return self.head(pooled, np.array([len(c) for c in made]))[2]
 
     def gradients(self, chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         acts = convolve(self.p["tables"], chunks)
@@ -137,8 +137,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network from a bounded sample: the SAMPLE_PER_CLASS labelled ids of each class with the least hashes.
 
-    Held-out ids, null ids and labels other than 0 and 1 are left out. Of a repeated id the
-    first text counts. At most SAMPLE_CHUNKS chunks of each text reach the driver.
+    Held-out ids, null ids and labels other than 0 and 1 are left out, and texts of more than
+    SAMPLE_BYTES. Of a repeated id the least text counts. Texts of the sample are learnt from
+    whole, pooled as they are in scoring.
     """
     marked = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).withColumn("_hash", F.xxhash64("_id"))
     classes = [marked.where(F.col("_label") == k).dropDuplicates(["_id"]).orderBy("_hash", "_id").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
@@ -146,23 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not chosen:
         return Network()
 
-    @F.pandas_udf("struct<data:binary,n:int>")
-    def sample(texts: pd.Series) -> pd.DataFrame:
-        made = [chunked([bytes(t) if t is not None else b""], SAMPLE_CHUNKS)[0] for t in texts]
-        return pd.DataFrame({"data": [x.tobytes() for x in made], "n": [len(x) for x in made]})
-
-    bound_batches(docs.sparkSession)
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"_chosen {docs.schema[id_col].dataType.simpleString()}")
     here = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_chosen"))  # 2 * SAMPLE_PER_CLASS ids at most
-    rows = here.select("_id", sample("_text").alias("_s")).select("_id", "_s.*").groupBy("_id").agg(F.min(F.struct("data", "n")).alias("_s")).select("_id", "_s.*").collect()
+    rows = here.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= SAMPLE_BYTES).groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(b""))).alias("_text")).collect()
     rows.sort(key=lambda r: str(r["_id"]))
-    chunks = np.concatenate([np.frombuffer(r["data"], np.uint8).reshape(-1, CHUNK) for r in rows]) if rows else np.zeros((0, CHUNK), np.uint8)
-    return train(chunks, np.array([r["n"] for r in rows], np.int64), np.array([chosen[r["_id"]] for r in rows], np.float32))
+    if not rows:
+        return Network()
+    chunks, counts = chunked([bytes(r["_text"]) for r in rows])
+    return train(chunks, counts.astype(np.int64), np.array([chosen[r["_id"]] for r in rows], np.float32))
 
 
 def scorer(docs: DataFrame, net: Network):
     """A column function from binary texts to probabilities; null scores like the empty text."""
-    bound_batches(docs.sparkSession)
     params = docs.sparkSession.sparkContext.broadcast(net.p)  # WIDTH * 256 * FILTERS weights and a few more, whatever the corpus
 
     @F.pandas_udf("double")
@@ -178,6 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     Every text is scored whole, where it is read, without a shuffle. Null and empty texts
     score like each other; null ids and repeated rows give a row each; other columns are
     ignored; an empty table gives no rows, and without labels the untrained network scores.
+    A very long text is scored whole, one block of chunks at a time.
     """
     score = scorer(docs, fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     out = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score(F.col(text_col)).alias("score"))
