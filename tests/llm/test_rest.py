@@ -170,14 +170,46 @@ def test_neighbours(spark, scale, monkeypatch):
     assert neighbours.nearest(df.limit(0), lambda i: i % 5 == 0).count() == 0
 
 
+def test_repeated_queries(spark):
+    """A query row that is repeated asks once; another vector under its id has ranks of its own."""
+    x = np.random.default_rng(5).normal(size=(120, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    twice = spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in neighbours.nearest(twice, lambda i: i == 0).collect()]
+    want = sorted(range(1, 120), key=lambda i: (-float(x[i] @ x[0]), i))[:20]
+    assert sorted(r for r, _ in got) == list(range(1, 21)) and len({i for _, i in got}) == 20
+    assert len({i for _, i in got} & set(want)) >= 18
+    other = spark.createDataFrame([*rows, (0, rows[7][1])], "vec_id long, embedding array<double>")
+    ranks = sorted(r["rank"] for r in neighbours.nearest(other, lambda i: i == 0).collect())
+    assert ranks == sorted([*range(1, 21)] * 2)
+
+
+def brute_perspectives(rows):
+    """Rows without null turns."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        said = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2] or ""))
+        for me in {r for _, r, _ in said if r not in (None, "system")}:
+            text, spans = "", []
+            for _, role, words in said:
+                text += "<|assistant|>\n" if role == me else "<|system|>\n" if role == "system" else f"<|user name={role or 'unknown'}|>\n"
+                begin = len(text)
+                text += (words or "") + "<|end|>\n"
+                if role == me:
+                    spans.append(f"{begin}-{len(text)}")
+            out[conv, me] = (len(said), len(spans), text, ",".join(spans))
+    return out
+
+
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "ho"), (1, 2, "bob", "ho"), (1, 2, "ann", "tie"), (1, 3, None, None), (1, 300, "bob", "late"), (1, None, "ann", "no turn"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (None, 0, "bob", "y"), (3, 0, "ann", "long " * 20000)]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, rendered string")
-    got = {(r["conv_id"], min(r["part"], 2) if r["part"] >= 0 else -1, r["perspective"]): r for r in perspectives.rotate(df).collect()}
-    assert set(got) == {(1, p, s) for p in (-1, 0, 1) for s in ("ann", "bob")} | {(None, 0, "ann"), (None, 0, "bob"), (3, 0, "ann")}
-    ann = got[1, 0, "ann"]
-    assert ann["rendered"] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|assistant|>\ntie<|end|>\n<|user name=bob|>\nho<|end|>\n<|user name=unknown|>\n<|end|>\n"
-    spans = [tuple(map(int, s.split("-"))) for s in ann["spans"].split(",")]
-    assert [ann["rendered"][a:b] for a, b in spans] == ["hi<|end|>\n", "tie<|end|>\n"] and (ann["n_turns"], ann["n_trained"]) == (5, 2)
-    assert got[1, 0, "bob"]["n_trained"] == 1 and got[1, 1, "ann"]["spans"] == "" and got[1, -1, "ann"]["n_trained"] == 1
+    rng = random.Random(4)
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "ho"), (1, 2, "bob", "ho"), (1, 2, "ann", "tie"), (1, 3, None, None), (1, 300, "bob", "late"), (2, 0, "system", "alone"), (3, 0, "ann", "long " * 20000)]
+    rows += [(4, i, "system" if i == 0 else rng.choice(["ann", "bob"]), f"turn {i}") for i in range(600)]
+    df = spark.createDataFrame([(*r, "c") for r in [*rows, (None, 0, "ann", "x"), (None, 0, "bob", "y"), (5, 1, "ann", "a"), (5, None, "bob", "b"), (5, None, "ann", "c")]], "conv_id long, turn long, role string, text string, rendered string")
+    every = perspectives.rotate(df).collect()
+    got = {(r["conv_id"], r["perspective"]): (r["n_turns"], r["n_trained"], r["rendered"], r["spans"]) for r in every}
+    assert len(every) == len(got)
+    assert {k: v for k, v in got.items() if k[0] not in (None, 5)} == brute_perspectives(rows)
+    assert got[None, "ann"] == (1, 1, "<|assistant|>\nx<|end|>\n", "14-23") and got[None, "bob"][0] == 1
+    assert got[5, "ann"][:2] == (3, 2) and got[5, "ann"][2].startswith("<|assistant|>\na<|end|>\n")
     assert perspectives.rotate(df.limit(0)).count() == 0

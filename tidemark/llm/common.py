@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but ASCII white space. ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch. Long texts are why it is far below Spark's 10,000.
-BATCH_ROWS = 512
 #: Spark setting that drops an execution's shuffle files as soon as it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key is hot that has more than one in so many of all rows; hence there are no more hot keys than that.
@@ -27,11 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Python workers hold one Arrow batch at a time; this bounds its size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def worker_cache(key: str, build: Callable[[], Any]) -> Any:
     """What ``build`` returns, made once in each Python worker, which serves many tasks."""
     held = sys.__dict__.setdefault("_tidemark_worker_cache", {})

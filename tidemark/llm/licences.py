@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
-
 #: Phrases by which each family's notices and texts are known. Public licence wording.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
@@ -217,8 +215,6 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     gives no rows. The model is fitted on SAMPLE paragraphs at most, those of the least hash
     among the first lines of documents; every paragraph of every text is judged whole.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     line = F.substring(F.element_at(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", 2), 1), 1, 2000)
     first = docs.select(line.alias("_line")).where(F.length("_line") > 0).withColumn("_hash", F.xxhash64("_line"))
     # hashes first, then the lines: what reaches the driver stays small however many tasks there are

@@ -9,13 +9,15 @@ LCPs says, so the union of the spans of all maximal repeats is the union of thos
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
-
+#: Texts are measured together up to so many bytes; a longer one alone.
+BATCH_BYTES = 1 << 20
 #: Base rules.
 MIN_WORDS, WINDOW, MAX_WINDOW_PERCENT = 20, 8, 30
 #: The method's own: repeats of MIN_REPEAT words or more may cover MAX_COVERED_PERCENT of the words, the longest repeat MAX_REPEAT words.
@@ -43,7 +45,7 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(first, np.diff(np.r_[first, n]))
-    levels, step = [rank], 1
+    levels, step = [rank.astype(np.int32)], 1
     while True:
         s = rank[order]
         tied = np.r_[False, s[1:] == s[:-1]]
@@ -61,11 +63,11 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
         first = np.r_[True, key[1:] != key[:-1]]
         rank = rank.copy()
         rank[order[places]] = places[np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))]
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         step *= 2
     a, b, lcp = order[:-1], order[1:], np.zeros(n - 1, np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        level = np.r_[levels[k], -1]
+        level = np.r_[levels.pop(), np.int32(-1)]
         live = np.flatnonzero(level[np.minimum(a + lcp, n)] == level[np.minimum(b + lcp, n)])
         lcp[live] += 1 << k
     best = np.zeros(n, np.int64)
@@ -80,6 +82,19 @@ def covered(best: np.ndarray, least: int) -> np.ndarray:
     return np.maximum.accumulate(np.where(best >= least, i + best, 0)) > i if len(best) else np.zeros(0, bool)
 
 
+def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Neighbouring texts of BATCH_BYTES together, or one longer text."""
+    now, size = [], 0
+    for t in texts:
+        if now and size + len(t) > BATCH_BYTES:
+            yield now
+            now, size = [], 0
+        now.append(t)
+        size += len(t)
+    if now:
+        yield now
+
+
 def measure(texts: list[bytes]) -> pd.DataFrame:
     """One row per text."""
     ids: dict[bytes, int] = {}
@@ -111,14 +126,15 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no words and fail the base rules. Repeated rows and null ids
     give a row each; other columns are ignored; an empty table gives no rows. A text is
-    measured whole, in the task that reads it: no shuffle.
+    measured whole, in the task that reads it: no shuffle. Memory grows with a batch of
+    BATCH_BYTES or the longest text, some 40 bytes a word and doubling.
     """
-    bound_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
     @F.pandas_udf(", ".join(f"{c} long" for c in names))
     def run(texts: pd.Series) -> pd.DataFrame:
-        return measure([bytes(t) if t is not None else b"" for t in texts])[names]
+        made = [measure(b) for b in batches([bytes(t) if t is not None else b"" for t in texts])]
+        return (pd.concat(made, ignore_index=True) if made else measure([]))[names]
 
     measured = run(F.col(text_col).cast("binary")).alias("_out")
     out = docs.select(F.col(id_col).alias("_id"), measured).select("_id", "_out.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage
+from .common import cut_lineage, forget
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -52,8 +52,6 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _mark, _fp) per row: a hash of the text, and the fingerprint as a signed long; null and empty texts have fingerprint zero."""
-    bound_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(bytes(t)) if t is not None else 0 for t in texts], np.uint64).view(np.int64))
