@@ -41,8 +41,13 @@ def brute(kind, m):
     if kind == "ipv4":
         return ".".join(map(str, feistel([(int(x), 256) for x in m.split(".")], kind)))
     if kind == "phone":
-        head = re.match(r"(?:\+\d{1,3}(?=[ .(-]))?", m)[0]
+        two = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}
+        head = "" if m[0] != "+" else m[:2] if m[1] in "17" else m[:3] if int(m[1:3]) in two else m[:4]
         return head + spelled(m[len(head) :], kind)
+    if kind == "iban":
+        new = spelled(m[4:], kind)
+        number = int("".join(str(int(c, 36)) for c in new.replace(" ", "") + m[:2] + "00"))
+        return f"{m[:2]}{98 - number % 97:02}{new}"
     if kind == "card":
         d = [int(c) for c in m if c.isdigit()]
         new = [d[0], *feistel([(x, 10) for x in d[1:-1]], kind)]
@@ -63,7 +68,8 @@ def brute(kind, m):
 
 
 VALUES = [
-    ("email", "bosbt.42@mail8.example.com"), ("email", "A_b-C@x.org"), ("ipv4", "42.144.35.254"), ("phone", "+1 (736) 555-2678"), ("phone", "555-123-4567"), ("phone", "+442079460958"),
+    ("email", "bosbt.42@mail8.example.com"), ("email", "A_b-C@x.org"), ("ipv4", "42.144.35.254"), ("phone", "+1 (736) 555-2678"), ("phone", "555-123-4567"), ("phone", "+442079460958"), ("phone", "+1 555 123 4567"), ("phone", "+15551234567"), ("phone", "+353 21 1234567"),
+    ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000"),
     ("card", "4041894974608795"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("ssn", "667-01-0001"), ("date", "2024-02-29"), ("date", "31.12.1999"), ("date", "1987/06/05"), ("date", "12/31/2001"),
 ]
 INVALID = ["4041894974608796", "256.1.1.1", "01.2.3.4", "000-12-3456", "2023-02-29", "31.11.1999", "13/31/2001", "2200-01-01", "AA99 1234 5678 9012"]
@@ -97,21 +103,21 @@ def test_invalid_values_and_edges(run):
 def test_neighbours_and_iban(run):
     text = "+1 (269) 555-3296 4524132264652876 or +1 (383) 555-6083 42.144.35.254 ogn.33@mail1.example.com GB82 WEST 1234 5698 7654 32"
     (_, out, n, kinds) = run([(1, text)])[0]
-    assert kinds.split(",") == ["phone", "card", "phone", "ipv4", "email", "iban"] or not _luhn("4524132264652876")
+    assert [k for k in kinds.split(",") if k != "card"] == ["phone", "phone", "ipv4", "email", "iban"]
     iban = re.search(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d$", out)[0]
     compact = iban.replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
     assert iban != "GB82 WEST 1234 5698 7654 32"
-    assert len(out) == len(text) or "." in out
+    assert out.split("@")[1] == "mail1.example.com " + iban
 
 
-def _luhn(s):
-    d = [int(c) for c in s]
-    return check(d[:-1]) == d[-1]
+def test_one_number_in_several_spellings(run):
+    got = run([(0, "+1 555 123 4567"), (1, "+15551234567"), (2, "+1 (555) 123-4567"), (3, "555-123-4567")])
+    assert len({re.sub(r"\D", "", r[1]).removeprefix("1") if r[0] < 3 else re.sub(r"\D", "", r[1]) for r in got}) == 1
 
 
 def test_permutation(run):
-    """All area and group parts of one serial: no two pseudonyms meet."""
+    """Of many dates no two pseudonyms meet."""
     days = [(i, (date(1900, 1, 1) + timedelta(days=i)).isoformat()) for i in range(0, 73049, 37)]
     got = run(days)
     assert len({r[1] for r in got}) == len(days) and all(r[3] == "date" for r in got)

@@ -35,6 +35,9 @@ FOUND = "|".join(KINDS.values())
 TAILS = 6
 IBAN_LENGTHS = {n: c.split() for n, c in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC"}.items()}
 
+#: Country calling codes: one digit, two digits, else three.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -131,7 +134,7 @@ def valid_part(m: Column) -> Column:
 
 def fixed_head(m: Column, kind: Column) -> Column:
     """What stays at the start: a telephone's country code; an account's country and check digits, which are made anew."""
-    return F.when(kind == "phone", F.regexp_extract(m, r"^(?:\+\d{1,3}(?=[ .(-]))?", 0)).when(kind == "iban", F.substring(m, 1, 4)).otherwise("")
+    return F.when(kind == "phone", F.regexp_extract(m, rf"^(?:\+(?:{COUNTRY}))?", 0)).when(kind == "iban", F.substring(m, 1, 4)).otherwise("")
 
 
 def fixed_tail(m: Column, kind: Column) -> Column:
@@ -216,7 +219,8 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     """Per row: id_col, text, n_values, kinds.
 
     text has every valid value replaced; n_values counts them; kinds lists their kinds in
-    the order of the text, comma-joined. Everything else of a text stays as it was. A null
+    the order of the text, comma-joined. A telephone's country code stays and the digits after
+    it are permuted, so one number is linked however it is spaced. Everything else of a text stays as it was. A null
     text stays null, with no values; an empty one stays empty. Each row stands for itself,
     so repeated rows and null ids come back as they are; other columns are ignored; an empty
     table gives no rows. No shuffle; a row's work grows with its own text only.
