@@ -2,7 +2,7 @@
 
 A softmax regression over sparse word n-grams tells licence families from ordinary text. It
 is fitted on notices made from the templates below by cropping, dropping and adding words,
-and on a bounded sample of the corpus's own paragraphs as the unknown class. Its confidence
+and on a bounded sample of the corpus's own lines as the unknown class. Its confidence
 is calibrated on notices and paragraphs held out: a temperature, and a threshold that no
 ordinary paragraph of that set passes. A family is reported only if the paragraph also
 contains enough of the word trigrams of one of its templates.
@@ -23,21 +23,34 @@ from pyspark.sql import functions as F
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "SPDX-License-Identifier: Zlib"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: OFL-1.1"],
+    "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License", "SPDX-License-Identifier: CDDL-1.0"],
+    "EUPL-1.2": ["Licensed under the European Union Public Licence, version 1.2", "SPDX-License-Identifier: EUPL-1.2"],
+    "WTFPL": ["Do What The Fuck You Want To Public License", "SPDX-License-Identifier: WTFPL"],
     "CC0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work has been dedicated to the public domain."],
     "proprietary": ["All rights reserved.", "No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher."],
 }
 UNKNOWN = "unknown"
-#: Notices made from each template, words around them, ordinary paragraphs sampled, longest n-gram.
-COPIES, AROUND, SAMPLE, NGRAM, SEED = 60, 12, 2000, 3, 31
+#: Notices made from each template, words around them, ordinary paragraphs sampled and the characters of the longest, longest n-gram.
+COPIES, AROUND, SAMPLE, SAMPLE_CHARS, NGRAM, SEED = 60, 12, 2000, 2000, 3, 31
 #: Share of a template's trigrams that a paragraph must hold.
 CONTAINED = 0.6
 #: Words from one start of a wrapped notice to the next inside a run of template words.
@@ -111,7 +124,11 @@ class Model:
         best = int(p.argmax())
         if best == 0 or p[best] < self.threshold:
             return None
-        return self.classes[best], float(p[best]), self.containment(words, self.classes[best]) >= CONTAINED
+        # the template that is matched best decides between versions and variants of a family
+        held = [self.containment(words, f) for f in self.classes[1:]]
+        if held[best - 1] < max(held) and max(held) >= CONTAINED:
+            best = max((i for i in range(1, len(self.classes)) if held[i - 1] == max(held)), key=lambda i: p[i])
+        return self.classes[best], float(p[best]), held[best - 1] >= CONTAINED
 
     def wrapped(self, lines: list[str], sure: list[bool]) -> list[tuple[str, float, bool]]:
         """Confirmed notices that go over line breaks of adjacent lines, none of which is sure by itself at its start.
@@ -213,10 +230,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     classifier named but no template confirmed. Null and empty texts have no paragraphs.
     Repeated rows and null ids give a row each; other columns are ignored; an empty table
     gives no rows. The model is fitted on SAMPLE paragraphs at most, those of the least hash
-    among the first lines of documents; every paragraph of every text is judged whole.
+    among all lines of at most SAMPLE_CHARS characters; every paragraph of every text, very
+    long ones too, is judged whole.
     """
-    line = F.substring(F.element_at(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", 2), 1), 1, 2000)
-    first = docs.select(line.alias("_line")).where(F.length("_line") > 0).withColumn("_hash", F.xxhash64("_line"))
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("_line")).where(F.length("_line").between(1, SAMPLE_CHARS))
+    first = lines.withColumn("_hash", F.xxhash64("_line"))
     # hashes first, then the lines: what reaches the driver stays small however many tasks there are
     least = [r["_hash"] for r in first.select("_hash").distinct().orderBy("_hash").limit(SAMPLE).collect()]
     ordinary = first.where(F.col("_hash") <= least[-1]).select("_line").distinct().collect() if least else []
