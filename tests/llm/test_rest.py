@@ -32,7 +32,7 @@ def brute_mix(rows):
         open_ = [n for n in open_ if n not in over]
     out = []
     for n in names:
-        mine = sorted(((hashlib.md5(str(d if d is not None else "").encode()).hexdigest(), d is not None, d or 0, size(t)) for d, t, s in rows if s == n))
+        mine = sorted(((hashlib.md5((str(d) if d is not None else hashlib.md5((t or "").encode()).hexdigest()).encode()).hexdigest(), d is not None, d or 0, size(t)) for d, t, s in rows if s == n))
         epochs, rest = divmod(math.floor(target[n] + 1e-9), total[n]) if total[n] else (0, 0)
         for _, has, d, z in mine:
             part = max(0, min(z, rest))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import cut_lineage, n_words
 
 #: Hex digits of the key that name a range: 4096 ranges in each source.
 RANGE_DIGITS = 3
@@ -57,12 +57,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Returns id_col, the ``carry`` columns, size, source_size, target and taken; other
     columns are ignored, so clashing names don't matter. taken = whole epochs * size, and
     in the epoch that ends inside the source, whatever of the document lies before the cut.
-    Null text: size 0, taken 0. Null source: a source of its own, last. Null ids share a
-    key. Repeated rows count each; equal rows are interchangeable, so reruns agree. An
+    Null text: size 0, taken 0. Null source: a source of its own, last. Null ids are
+    keyed by their text. Repeated rows count each; equal rows are interchangeable, so reruns agree. An
     empty table gives no rows; a corpus without words takes nothing.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), key.alias("_key"), F.struct(F.lit(0), *carry).alias("_carried")).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+    rows = cut_lineage(rows)  # words are counted once
     ranges = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     of_source = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(ranges).withColumnRenamed("_source", "_of")
@@ -103,7 +104,7 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
