@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, lines, mixing, quality, simhash
-from tidemark.llm.common import table
+from tidemark.llm.common import cut_lineage, forget, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -53,13 +50,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is written to the cluster's shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    base = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.
+
+    Each stage's result is written to the cluster's shared folder and read again; the one
+    before it is then deleted. Null and empty texts go where a stage sends them: the
+    classifier scores them like any other text, line dedup leaves them as they are, equal
+    rows are near copies of which one stays, and mixing takes no words of them. Null ids
+    come last where the smallest id decides. An empty table gives no rows; further columns
+    of ``documents``, whatever their names, go through all stages but the last.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}")
-            docs = spark.read.parquet(f"{base}/{k}")
+            docs = cut_lineage(docs)
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
