@@ -92,13 +92,17 @@ def may_be_near(u: str, v: str) -> Column:
     return near
 
 
+def similar(u: Column, v: Column) -> Column:
+    """Whether two lines are similar enough, by the shingles themselves."""
+    sets = F.transform(F.array(F.struct(F.array_distinct(shingles(u)).alias("a"), F.array_distinct(shingles(v)).alias("b"))), lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("n")))
+    return F.exists(sets, lambda c: c["both"] >= SIMILARITY * (c["n"] - c["both"]))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the written pairs (u, v) whose lines are similar enough, by the shingles themselves."""
+    """Those of the written pairs (u, v) whose lines are similar enough."""
     u, v = (texts.select(F.col("_key").alias(c), F.col("_line").alias(c + "_line")) for c in "uv")
     both = join_dealt(join_dealt(pairs, u, "u"), v, "v", counts=pairs.groupBy("v").agg(F.count("*").alias("_n")))
-    sets = both.select("u", "v", F.array_distinct(shingles(F.col("u_line"))).alias("_a"), F.array_distinct(shingles(F.col("v_line"))).alias("_b"))
-    counts = sets.select("u", "v", (F.size("_a") + F.size("_b")).alias("_n"), F.size(F.array_intersect("_a", "_b")).alias("_shared"))
-    return counts.where(F.col("_shared") >= SIMILARITY * (F.col("_n") - F.col("_shared"))).select("u", "v")
+    return both.where(similar(F.col("u_line"), F.col("v_line"))).select("u", "v")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -143,19 +147,23 @@ def open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
     return join_dealt(named, still.drop("_n"), "_band", counts=still.select("_band", "_n"))
 
 
-def open_pairs(still: DataFrame, marks: DataFrame) -> DataFrame:
-    """(u, v), u > v: the lines of different components in each open bucket, once, without those that sketches rule out.
+def open_links(still: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): the similar lines of different components in each open bucket.
 
     A bucket of more than TILE lines is cut into parts, and each two of them are a key of
-    the join, so no key has more than TILE lines a side.
+    the join, so no key has more than TILE lines a side. Lines are compared where they
+    meet, in the first bucket that they share, if sketches allow: only links leave the join.
     """
-    rows = still.join(marks, "_key").withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int"))
+    shared = still.groupBy("_key").agg(F.collect_list("_band").alias("_open"))  # a line's buckets, one for each of BANDS at most
+    rows = still.join(marks, "_key").join(texts, "_key").join(shared, "_key").withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
-    held = ["_key", "_root", *marks.columns[1:]]
+    held = ["_key", "_root", "_open", "_line", *marks.columns[1:]]
     left = dealt.where("_part <= _other").select("_band", F.col("_part").alias("_i"), F.col("_other").alias("_j"), *[F.col(c).alias("a" + c) for c in held])
     right = dealt.where("_other <= _part").select("_band", F.col("_other").alias("_i"), F.col("_part").alias("_j"), *[F.col(c).alias("b" + c) for c in held])
-    pairs = left.join(right, ["_band", "_i", "_j"]).where("a_root <> b_root and (_i < _j or a_key > b_key)").where(may_be_near("a", "b"))
-    return pairs.select(F.greatest("a_key", "b_key").alias("u"), F.least("a_key", "b_key").alias("v")).distinct()
+    apart = F.expr("a_root <> b_root and (_i < _j or a_key > b_key)")
+    here = F.array_min(F.array_intersect("a_open", "b_open")) == F.col("_band")
+    links = left.join(right, ["_band", "_i", "_j"]).where(apart & here & may_be_near("a", "b") & similar(F.col("a_line"), F.col("b_line")))
+    return links.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
 
 
 def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
@@ -184,10 +192,9 @@ def line_classes(lines: DataFrame) -> DataFrame:
     near = cut_lineage(_verified(pairs, texts))
     joined = components(near)
     still = cut_lineage(open_buckets(members, joined))
-    more_pairs = cut_lineage(open_pairs(still, marks))
-    more = cut_lineage(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_verified(more_pairs, texts)))
+    more = cut_lineage(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(open_links(still, marks, texts)))
     every = components(more)
-    forget(members, shared, keys, texts, marks, first, pairs, near, joined, still, more_pairs, more)
+    forget(members, shared, keys, texts, marks, first, pairs, near, joined, still, more)
     return every
 
 
