@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,25 @@ def regexp_extract(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), got)
 
 
+def similar_pattern(pattern: str) -> str:
+    """The Java regular expression of an SQL one: % and _ as in LIKE; . ^ $ \\ stand for themselves.
+
+    Inside brackets only the backslash is escaped, so that [^a-z] keeps its meaning.
+    """
+    java, inside = "", False
+    for c in pattern:
+        if inside:
+            java += "\\\\" if c == "\\" else c
+            inside = c != "]"
+        else:
+            java += {"%": ".*", "_": ".", ".": r"\.", "^": r"\^", "$": r"\$", "\\": "\\\\"}.get(c, c)
+            inside = c == "["
+    return f"^(?s:{java})$"
+
+
 def similar_to(text: Column, pattern: str) -> Column:
-    """Whole-string match of an SQL regular expression: % and _ as in LIKE."""
-    java = "".join({"%": ".*", "_": "."}.get(c, c) for c in pattern)
-    return text.rlike(f"^(?s:{java})$")
+    """Whole-string match of an SQL regular expression."""
+    return text.rlike(similar_pattern(pattern))
 
 
 def words(text: Column) -> Column:
@@ -88,13 +106,13 @@ def int_div(a: Column, b: Column) -> Column:
 
 
 def row_mean(*values: Column) -> Column:
-    return F.aggregate(F.array(*values), F.lit(0.0), lambda a, x: a + x) / len(values)
+    return reduce(add, values) / len(values)
 
 
 def row_stdev(*values: Column) -> Column:
     """Sample deviation across the columns of one row."""
     mean = row_mean(*values)
-    return F.sqrt(F.aggregate(F.transform(F.array(*values), lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / (len(values) - 1))
+    return F.sqrt(reduce(add, [(x - mean) * (x - mean) for x in values]) / (len(values) - 1))
 
 
 def millis_to_iso(ms: Column) -> Column:
@@ -111,7 +129,7 @@ def register(spark: SparkSession) -> None:
     """JSON_VALUE, JSON_EXISTS, JSON_QUERY and IS_JSON as SQL functions with literal paths."""
     for name, body in {
         "json_value(j STRING, p STRING) RETURNS STRING": "try_variant_get(try_parse_json(j), p, 'string')",
-        "json_exists(j STRING, p STRING) RETURNS BOOLEAN": "coalesce(get_json_object(j, p) IS NOT NULL, false)",
+        "json_exists(j STRING, p STRING) RETURNS BOOLEAN": "coalesce(schema_of_variant(try_variant_get(try_parse_json(j), p, 'variant')) IS NOT NULL, false)",
         "json_query(j STRING, p STRING) RETURNS STRING": "get_json_object(j, p)",
         "is_json(j STRING) RETURNS BOOLEAN": "coalesce(try_parse_json(j) IS NOT NULL, false)",
     }.items():

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 #: Cities whose temperatures are shown in Fahrenheit. Fixed values.
 FAHRENHEIT_CITIES = ("Chicago", "Portland", "Seattle", "New York")
-#: A grid over New York. Corner, cell sizes in degrees, cells across.
-LON_WEST, LON_EAST, LAT_NORTH, LAT_SOUTH = -74.05, -73.7, 41.0, 40.5
-DELTA_LON, DELTA_LAT, CELLS_X = 0.0014, 0.00125, 250
+#: A grid over New York. Bounds, cell sizes in degrees, cells across.
+WEST, EAST, SOUTH, NORTH = -74.05, -73.7, 40.5, 41.0
+CELL_WIDTH, CELL_HEIGHT, ACROSS = 0.0014, 0.00125, 250
 
 
 def to_fahr(city: Column, celsius: Column) -> Column:
@@ -19,22 +19,20 @@ def to_fahr(city: Column, celsius: Column) -> Column:
 
 
 def in_nyc(lon: Column, lat: Column) -> Column:
-    return ~((lon > LON_EAST) | (lon < LON_WEST)) & ~((lat > LAT_NORTH) | (lat < LAT_SOUTH))
+    return lon.between(WEST, EAST) & lat.between(SOUTH, NORTH)
 
 
 def area_id(lon: Column, lat: Column) -> Column:
-    """Number of the grid cell, row by row from the north-west corner."""
-    x = F.floor((F.lit(abs(LON_WEST)) - F.abs(lon)) / DELTA_LON)
-    y = F.floor((F.lit(LAT_NORTH) - lat) / DELTA_LAT)
-    return (x + y * CELLS_X).cast("int")
+    """Number of the grid cell: whole cells east of the corner, and ACROSS for each whole cell south of it."""
+    east, south = F.floor((lon - WEST) / CELL_WIDTH), F.floor((NORTH - lat) / CELL_HEIGHT)
+    return (south * ACROSS + east).cast("int")
 
 
 def area_coords(cell: Column) -> Column:
     """Centre of a grid cell, as a struct of lon and lat."""
-    x = cell % CELLS_X
-    y = (cell - x) / CELLS_X
-    lon = F.lit(abs(LON_WEST)) - x * DELTA_LON - DELTA_LON / 2
-    return F.struct((-lon).cast("float").alias("lon"), (F.lit(LAT_NORTH) - y * DELTA_LAT - DELTA_LAT / 2).cast("float").alias("lat"))
+    east, south = F.pmod(cell, F.lit(ACROSS)), F.floor(cell / ACROSS)
+    centre = {"lon": WEST + (east + 0.5) * CELL_WIDTH, "lat": NORTH - (south + 0.5) * CELL_HEIGHT}
+    return F.struct(*[v.cast("float").alias(k) for k, v in centre.items()])
 
 
 def add_source(name: str = "NYCTAXI") -> Column:
@@ -60,6 +58,6 @@ def register(spark: SparkSession) -> None:
         return float((value * weight).sum() / total) if total else float("nan")
 
     spark.udf.register("to_fahr", fahr)
-    spark.udf.register("add_source", F.udf(lambda: "NYCTAXI", "string"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION add_source() RETURNS STRING RETURN 'NYCTAXI'")
     spark.udtf.register("split_words", SplitWords)
     spark.udf.register("weighted_mean", weighted_mean)

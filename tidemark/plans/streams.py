@@ -32,7 +32,7 @@ def x_session_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS users FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type")
 def x_distinct_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Exact distinct counts of a stream: deduplicated in one, counted in the next stateful operator."""
+    """Exact distinct counts: pairs deduplicated in a stream, whose state holds every pair, and counted once it has ended."""
     e = read_stream(spark, d, "events").select("event_type", "user_id").dropDuplicates(["event_type", "user_id"])
     seen = finish(e)
     return seen.groupBy("event_type").agg(F.count("*").alias("users"))
@@ -47,6 +47,14 @@ def x_interval_stream(spark: SparkSession, d: str) -> DataFrame:
     return finish(o.join(line, on).select("o_orderkey", "l_linenumber"))
 
 
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate + INTERVAL 60 DAY")
+def x_inequality_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream-stream join by key where one side's time comes after the other's; its state has no bound."""
+    o, line = read_stream(spark, d, "orders"), read_stream(spark, d, "lineitem")
+    on = F.expr("o_orderkey = l_orderkey AND l_shipdate > o_orderdate + INTERVAL 60 DAYS")
+    return finish(o.join(line, on).select("o_orderkey", "l_linenumber"))
+
+
 @query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def x_lookup_stream(spark: SparkSession, d: str) -> DataFrame:
     """A stream against a static table."""

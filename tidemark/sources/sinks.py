@@ -54,13 +54,15 @@ def commit_partitions(df: DataFrame, path: str, by: list[str], ts: str, *, delay
     """A partitioned file stream that marks a partition with _SUCCESS once event time has passed its rows by ``delay``.
 
     Event time is the latest ``ts`` seen so far. Marks are idempotent and held as files, so
-    a restarted query neither forgets nor repeats one. Returns the query.
+    a restarted query neither forgets nor repeats one. A micro-batch's rows are written once
+    even if it runs again: what its epoch has written is replaced. Returns the query.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        batch.write.mode("append").partitionBy(*by).format(fmt).save(path)
+        # each epoch has files of its own under every partition, so a second run overwrites the first
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "_epoch").format(fmt).save(path)
         seen = batch.groupBy(*by).agg(F.max(ts).alias("last"))
         seen.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/_progress")
         batch.unpersist()
@@ -81,29 +83,62 @@ def commit_partitions(df: DataFrame, path: str, by: list[str], ts: str, *, delay
 def upsert(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps a Parquet table at its last row per key: what a key-value or SQL store would hold.
 
-    Each batch writes a new version of the table and a pointer to it; a batch that runs
-    again writes the same version again.
+    Each batch writes a new version of the whole table, v0, v1 and so on; a batch that runs
+    again writes the same version again. The last but one is kept for that, older ones are
+    deleted. A version that should be there and isn't is an error.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         files, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-        before = files.Path(f"{path}/v{epoch - 1}")
-        rows = batch
-        if epoch and before.getFileSystem(conf).exists(before):
-            rows = batch.unionByName(spark.read.parquet(f"{path}/v{epoch - 1}"))
+        rows = batch.unionByName(spark.read.parquet(f"{path}/v{epoch - 1}")) if epoch else batch
         last = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
         last.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        old = files.Path(f"{path}/v{epoch - 2}")
+        old.getFileSystem(conf).delete(old, True)
 
     return run
 
 
+def merge_sql(url: str, table: str, stage: str, keys: list[str], columns: list[str]) -> str:
+    """One statement that puts a staging table's rows into a table by key, in the dialect of the URL."""
+    rest = [c for c in columns if c not in keys]
+    mysql = url.startswith(("jdbc:mysql:", "jdbc:mariadb:"))
+    staged = {c: f"`{c}`" if mysql else f'"{c}"' for c in columns}  # Spark quotes the names of the tables that it creates
+    names, values = ", ".join(columns), ", ".join(staged.values())
+    if mysql:
+        sets = ", ".join(f"{c} = VALUES({c})" for c in rest or keys)
+        return f"INSERT INTO {table} ({names}) SELECT {values} FROM {stage} ON DUPLICATE KEY UPDATE {sets}"
+    if url.startswith(("jdbc:postgresql:", "jdbc:sqlite:")):
+        sets = "UPDATE SET " + ", ".join(f"{c} = excluded.{c}" for c in rest) if rest else "NOTHING"
+        return f"INSERT INTO {table} ({names}) SELECT {values} FROM {stage} WHERE true ON CONFLICT ({', '.join(keys)}) DO {sets}"
+    on = " AND ".join(f"t.{k} = s.{staged[k]}" for k in keys)
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{staged[c]}' for c in rest)}" if rest else ""
+    return f"MERGE INTO {table} AS t USING {stage} AS s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join('s.' + v for v in staged.values())})"
+
+
 def jdbc_upsert(url: str, table: str, keys: list[str], order: list[str], **options: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes each batch's last row per key over JDBC."""
+    """A foreachBatch function that puts each batch's last row per key into a table that exists.
+
+    Executors write a staging table, ``table`` with the suffix _stage, over JDBC; one
+    statement then merges it. A batch that runs again has the same effect.
+    """
 
     def run(batch: DataFrame, _epoch: int) -> None:
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
-        last.write.mode("append").format("jdbc").options(url=url, dbtable=table, **options).save()
+        stage = f"{table}_stage"
+        last.write.mode("overwrite").format("jdbc").options(url=url, dbtable=stage, **options).save()
+        properties = batch.sparkSession._jvm.java.util.Properties()
+        for name in ("user", "password"):
+            if name in options:
+                properties.setProperty(name, options[name])
+        connection = batch.sparkSession._jvm.java.sql.DriverManager.getConnection(url, properties)
+        try:
+            statement = connection.createStatement()
+            statement.executeUpdate(merge_sql(url, table, stage, keys, batch.columns))
+            statement.close()
+        finally:
+            connection.close()
 
     return run
 
