@@ -94,8 +94,9 @@ def may_be_near(u: str, v: str) -> Column:
 
 def similar(u: Column, v: Column) -> Column:
     """Whether two lines are similar enough, by the shingles themselves."""
-    sets = F.transform(F.array(F.struct(F.array_distinct(shingles(u)).alias("a"), F.array_distinct(shingles(v)).alias("b"))), lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("n")))
-    return F.exists(sets, lambda c: c["both"] >= SIMILARITY * (c["n"] - c["both"]))
+    a, b = F.array_distinct(shingles(u)), F.array_distinct(shingles(v))
+    shared = F.size(F.array_intersect(a, b))
+    return shared >= SIMILARITY * (F.size(a) + F.size(b) - shared)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,11 +159,14 @@ def open_links(still: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFram
     rows = still.join(marks, "_key").join(texts, "_key").join(shared, "_key").withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
     held = ["_key", "_root", "_open", "_line", *marks.columns[1:]]
-    left = dealt.where("_part <= _other").select("_band", F.col("_part").alias("_i"), F.col("_other").alias("_j"), *[F.col(c).alias("a" + c) for c in held])
-    right = dealt.where("_other <= _part").select("_band", F.col("_other").alias("_i"), F.col("_part").alias("_j"), *[F.col(c).alias("b" + c) for c in held])
-    apart = F.expr("a_root <> b_root and (_i < _j or a_key > b_key)")
-    here = F.array_min(F.array_intersect("a_open", "b_open")) == F.col("_band")
-    links = left.join(right, ["_band", "_i", "_j"]).where(apart & here & may_be_near("a", "b") & similar(F.col("a_line"), F.col("b_line")))
+    first, second = F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j")
+    left = dealt.where("_part <= _other").select("_band", first, second, *held)
+    right = dealt.where("_other <= _part").select("_band", first, second, *held)
+    left, right = (df.select(*[F.col(c).alias(side + c) for c in df.columns]) for side, df in (("a", left), ("b", right)))
+    tile = F.expr("a_band = b_band and a_i = b_i and a_j = b_j")
+    apart = F.expr("a_root <> b_root and (a_i < a_j or a_key > b_key)")
+    here = F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_band")
+    links = left.join(right, tile & apart & F.when(here & may_be_near("a", "b"), similar(F.col("a_line"), F.col("b_line"))).otherwise(False))
     return links.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
 
 
