@@ -31,7 +31,7 @@ BINS = ORDER * ORDER
 #: The lines of the affine plane: upright ones, then those of each slope.
 BANDS = [tuple(ORDER * x + y for y in range(ORDER)) for x in range(ORDER)]
 BANDS += [tuple(ORDER * x + (slope * x + at) % ORDER for x in range(ORDER)) for slope in range(ORDER) for at in range(ORDER)]
-#: 64-bit words of a sketch, bytes of a UTF-16 unit, words of the filter of wanted lines (two megabytes).
+#: 64-bit words of a sketch, bytes of a UTF-16 unit, words of the filter of wanted keys (two megabytes).
 SKETCH, WIDE, FILTER = 32, 2, 1 << 18
 #: Lines in one part of a large bucket.
 TILE = 1024
@@ -116,12 +116,24 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.select("_key", *bands)
 
 
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose hashed ``key`` isn't among the wanted ones, before they are shuffled.
+
+    A filter of one bit for each hash value modulo 64 * FILTER, of FILTER rows whatever the
+    corpus, is broadcast. Full, it keeps every row; the join that follows decides.
+    """
+    spot = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(FILTER - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    bits = wanted.select(spot.alias("_spot"), bit.alias("_bit")).groupBy("_spot").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.withColumn("_at", spot).join(F.broadcast(bits), (F.col("_at") == F.col("_spot")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi").drop("_at")
+
+
 def buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buckets with more than one line, from written signatures: (_band, _key, _n) for each line in them, and (_band, _n)."""
     keyed = signed.select("_key", F.explode(F.array(*[f"_b{k}" for k in range(len(BANDS))])).alias("_band")).where(F.col("_band").isNotNull())
     # counts combine in each task, so a large bucket costs no more than its rows
     shared = cut_lineage(keyed.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1"))
-    return cut_lineage(join_dealt(keyed, shared, "_band", counts=shared)), shared
+    return cut_lineage(join_dealt(likely(keyed, "_band", shared), shared, "_band", counts=shared)), shared
 
 
 def pivot_pairs(members: DataFrame, shared: DataFrame) -> DataFrame:
@@ -171,16 +183,8 @@ def open_links(still: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFram
 
 
 def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """(_key, _line), once, of the wanted lines.
-
-    A filter of one bit for each hash value modulo 64 * FILTER, of FILTER rows whatever the
-    corpus, is broadcast and keeps most other lines from the shuffle.
-    """
-    spot = F.shiftrightunsigned("_key", 6).bitwiseAND(F.lit(FILTER - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_key").bitwiseAND(F.lit(63)).cast("int"))
-    bits = keys.select(spot.alias("_spot"), bit.alias("_bit")).groupBy("_spot").agg(F.bit_or("_bit").alias("_bits"))
-    likely = lines.withColumn("_at", spot).join(F.broadcast(bits), (F.col("_at") == F.col("_spot")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
-    return likely.select("_key", "_line").distinct().join(keys, "_key", "left_semi")
+    """(_key, _line), once, of the wanted lines."""
+    return likely(lines, "_key", keys).select("_key", "_line").distinct().join(keys, "_key", "left_semi")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
