@@ -93,10 +93,18 @@ def may_be_near(u: str, v: str) -> Column:
 
 
 def similar(u: Column, v: Column) -> Column:
-    """Whether two lines are similar enough, by the shingles themselves."""
-    a, b = F.array_distinct(shingles(u)), F.array_distinct(shingles(v))
-    shared = F.size(F.array_intersect(a, b))
-    return shared >= SIMILARITY * (F.size(a) + F.size(b) - shared)
+    """Whether two lines are similar enough, by the shingles themselves.
+
+    Lambda variables hold the two sets and their common size, so each is worked out once;
+    within a branch Spark would otherwise do so for every mention.
+    """
+
+    def near(p: Column) -> Column:
+        total = F.size(p["a"]) + F.size(p["b"])
+        return F.transform(F.array(F.size(F.array_intersect(p["a"], p["b"]))), lambda shared: shared >= SIMILARITY * (total - shared))[0]
+
+    sets = F.struct(F.array_distinct(shingles(u)).alias("a"), F.array_distinct(shingles(v)).alias("b"))
+    return F.transform(F.array(sets), near)[0]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,7 +186,7 @@ def open_links(still: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFram
     tile = F.expr("a_band = b_band and a_i = b_i and a_j = b_j")
     apart = F.expr("a_root <> b_root and (a_i < a_j or a_key > b_key)")
     here = F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_band")
-    links = left.join(right, tile & apart & F.when(here & may_be_near("a", "b"), similar(F.col("a_line"), F.col("b_line"))).otherwise(False))
+    links = left.join(right, tile & apart & F.when(may_be_near("a", "b") & here, similar(F.col("a_line"), F.col("b_line"))).otherwise(False))
     return links.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
 
 
