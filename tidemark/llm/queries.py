@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, lines, mixing, neighbours, perspectives, pseudonyms, quality, repetition, simhash
+from . import bpe, divergence, licences, lines, mixing, neighbours, perspectives, pseudonyms, quality, repetition, simhash
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("_copy")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_suffix_array_repetition": op2_suffix_array_repetition,
@@ -69,10 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_suffix_array_repetition": repetition.ORACLE,
     "op3_perspective_rotation": perspectives.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
