@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence, licences, lines, mixing, neighbours, perspectives, pseudonyms, quality, repetition, search, simhash
+from . import bpe, divergence, jaccard, licences, lines, mixing, neighbours, perspectives, pseudonyms, quality, repetition, search, simhash
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op13_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_cnn": op9_byte_cnn,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_source_divergence": op11_source_divergence,
+    "op12_count_vector_join": op12_count_vector_join,
     "op13_geometric_search": op13_geometric_search,
 }
 
@@ -86,5 +91,6 @@ ORACLES: dict[str, str] = {
     "op3_perspective_rotation": perspectives.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op11_source_divergence": divergence.ORACLE,
+    "op12_count_vector_join": jaccard.ORACLE,
     "op13_geometric_search": search.ORACLE,
 }
