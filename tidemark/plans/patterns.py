@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sqlfront
 from ..operators import joins, match
 from .registry import query, table
 
@@ -24,55 +25,105 @@ WITH {_SYMBOLS}, g AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, c ORDER BY ts, event_id) AS island,
          lead(c) OVER w AS next_c, lead(event_id) OVER w AS next_id FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), r AS (
-  SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_premium, arg_max(event_id, (ts, event_id)) AS last_premium, arg_max(next_c, (ts, event_id)) AS after_c, arg_max(next_id, (ts, event_id)) AS basic, count(*) AS n
+  SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_premium, arg_max(event_id, (ts, event_id)) AS last_premium, arg_max(next_c, (ts, event_id)) AS after_c, arg_max(next_id, (ts, event_id)) AS basic, count(*) AS n,
+         avg(trunc(value)) AS hours
   FROM g WHERE c = 'P' GROUP BY user_id, island
 )
-SELECT user_id, first_premium, last_premium, basic, n FROM r WHERE after_c = 'B'
+SELECT user_id, first_premium, last_premium, basic, n, hours FROM r WHERE after_c = 'B'
 """)
 def m_premium_basic(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of premium rows that end in a basic one."""
-    return match.match_recognize(
-        _events(spark, d), partition_by=["user_id"], order_by=["ts", "event_id"], pattern="PREMIUM+ BASIC",
-        define={"PREMIUM": lambda m: m.row["event_type"] in ("purchase", "signup"), "BASIC": lambda m: m.row["event_type"] == "view"},
-        measures={"first_premium": lambda m: m.first("PREMIUM", "event_id"), "last_premium": lambda m: m.last("PREMIUM", "event_id"), "basic": lambda m: m.last("BASIC", "event_id"), "n": lambda m: len(m.of("PREMIUM"))},
-        schema="user_id long, first_premium long, last_premium long, basic long, n long",
-    )
+    """Runs of premium rows that end in a basic one, and the premium rows' mean length."""
+    _events(spark, d).withColumn("until", F.expr("ts + make_dt_interval(0, CAST(value AS INT))")).createOrReplaceTempView("subscriptions")
+    return sqlfront.sql(
+        spark,
+        """
+        SELECT * FROM subscriptions MATCH_RECOGNIZE (
+          PARTITION BY user_id ORDER BY ts, event_id
+          MEASURES FIRST(PREMIUM.event_id) AS first_premium, LAST(PREMIUM.event_id) AS last_premium, BASIC.event_id AS basic,
+                   COUNT(PREMIUM.event_id) AS n, AVG(TIMESTAMPDIFF(HOUR, PREMIUM.ts, PREMIUM.until)) AS hours
+          ONE ROW PER MATCH
+          AFTER MATCH SKIP PAST LAST ROW
+          PATTERN (PREMIUM+ BASIC)
+          DEFINE PREMIUM AS PREMIUM.event_type IN ('purchase', 'signup'), BASIC AS BASIC.event_type = 'view'
+        )
+        """,
+    )
+
+
+def _v_sql(downs: int, before: str) -> str:
+    return f"""
+WITH v AS (SELECT event_type, event_id, ts, value, lag(value) OVER w AS p, lead(value) OVER w AS q, row_number() OVER w AS i FROM (SELECT * FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+f AS (SELECT *, CASE WHEN value < p THEN 0 ELSE 1 END AS stop FROM v),
+g AS (SELECT *, sum(stop) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) AS fall FROM f),
+r AS (SELECT event_type, fall, min(i) AS i0, max(i) AS i1, count(*) - 1 AS downs, arg_max({before}, i) AS bound, arg_max(q, i) AS after FROM g GROUP BY event_type, fall)
+SELECT r.event_type, a.event_id AS start_id, b.event_id AS bottom_id, c.event_id AS up_id, CAST(downs AS BIGINT) AS downs
+FROM r JOIN v a ON a.event_type = r.event_type AND a.i = i0 JOIN v b ON b.event_type = r.event_type AND b.i = i1 JOIN v c ON c.event_type = r.event_type AND c.i = i1 + 1
+WHERE downs >= {downs} AND after > bound
+"""
 
 
-@query("""
-WITH v AS (SELECT user_id, event_id, ts, value, lag(value) OVER w AS p, lead(value) OVER w AS q, row_number() OVER w AS i FROM (SELECT * FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-f AS (SELECT *, CASE WHEN value < p THEN 0 ELSE 1 END AS stop FROM v),
-g AS (SELECT *, sum(stop) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS fall FROM f),
-r AS (SELECT user_id, fall, min(i) AS i0, max(i) AS i1, count(*) - 1 AS downs, arg_max(value, i) AS bottom, arg_max(q, i) AS after FROM g GROUP BY user_id, fall)
-SELECT r.user_id, a.event_id AS start_id, b.event_id AS bottom_id, c.event_id AS up_id, CAST(downs AS BIGINT) AS downs
-FROM r JOIN v a ON a.user_id = r.user_id AND a.i = i0 JOIN v b ON b.user_id = r.user_id AND b.i = i1 JOIN v c ON c.user_id = r.user_id AND c.i = i1 + 1
-WHERE downs >= 1 AND after > bottom
-""")
+def _v_shapes(spark: SparkSession, d: str, up: str) -> DataFrame:
+    _events(spark, d).where("value is not null").createOrReplaceTempView("readings")
+    return sqlfront.sql(
+        spark,
+        f"""
+        SELECT * FROM readings MATCH_RECOGNIZE (
+          PARTITION BY event_type ORDER BY ts, event_id
+          MEASURES START_ROW.event_id AS start_id, LAST(DOWN.event_id) AS bottom_id, LAST(UP.event_id) AS up_id, COUNT(DOWN.event_id) AS downs
+          ONE ROW PER MATCH
+          AFTER MATCH SKIP TO LAST UP
+          PATTERN (START_ROW DOWN+ UP)
+          DEFINE DOWN AS (LAST(DOWN.value, 1) IS NULL AND DOWN.value < START_ROW.value) OR DOWN.value < LAST(DOWN.value, 1),
+                 UP AS {up}
+        ) AS falls
+        """,
+    )
+
+
+@query(_v_sql(1, "value"))
 def m_v_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Falling values that turn: each match's last row may begin the next one."""
+    """Falling values that turn above the bottom: each match's last row may begin the next one.
+
+    There are few event types; time slices keep each of them in many tasks.
+    """
+    return _v_shapes(spark, d, "UP.value > LAST(DOWN.value)")
 
-    def down(m: match.Match) -> bool:
-        before = m.last("DOWN", "value", 1)
-        return m.row["value"] < (before if before is not None else m.last("START", "value"))
 
-    rows = _events(spark, d).where("value is not null")
-    return match.match_recognize(
-        rows, partition_by=["user_id"], order_by=["ts", "event_id"], pattern="START DOWN+ UP",
-        define={"DOWN": down, "UP": lambda m: m.row["value"] > m.last("DOWN", "value")},
-        measures={"start_id": lambda m: m.first("START", "event_id"), "bottom_id": lambda m: m.last("DOWN", "event_id"), "up_id": lambda m: m.last("UP", "event_id"), "downs": lambda m: len(m.of("DOWN"))},
-        schema="user_id long, start_id long, bottom_id long, up_id long, downs long", after="TO LAST UP",
-    )
+@query(_v_sql(2, "p"))
+def m_v_shape_second(spark: SparkSession, d: str) -> DataFrame:
+    """Falling values that turn above the value before the bottom, which must have been part of the fall."""
+    return _v_shapes(spark, d, "UP.value > LAST(DOWN.value, 1)")
 
 
-@query("""
+_AB = """
 WITH RECURSIVE n AS (SELECT user_id, event_id, ts, event_type, lead(event_id) OVER w AS b_id, lead(event_type) OVER w AS b_type, lead(ts) OVER w AS b_ts, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 ok AS (SELECT * FROM n WHERE b_type <> event_type AND b_ts - ts <= INTERVAL 1 DAY),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS island FROM ok),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY i) AS j FROM g)
 SELECT user_id, event_id AS a_id, b_id FROM k WHERE j % 2 = 1
-""")
+"""
+
+
+@query(_AB)
 def m_ab_within(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring rows of different types within a day; matches don't overlap."""
+    _events(spark, d).createOrReplaceTempView("visits")
+    return sqlfront.sql(
+        spark,
+        """
+        SELECT * FROM visits MATCH_RECOGNIZE (
+          PARTITION BY user_id ORDER BY ts, event_id
+          MEASURES A.event_id AS a_id, B.event_id AS b_id
+          PATTERN (A B) WITHIN INTERVAL '1' DAY
+          DEFINE A AS true, B AS B.event_type <> A.event_type
+        )
+        """,
+    )
+
+
+@query(_AB)
+def m_ab_function(spark: SparkSession, d: str) -> DataFrame:
+    """The same with Python conditions, which may look at the whole match."""
     return match.match_recognize(
         _events(spark, d), partition_by=["user_id"], order_by=["ts", "event_id"], pattern="A B", within=("ts", timedelta(days=1)),
         define={"B": lambda m: m.row["event_type"] != m.last("A", "event_type")},
