@@ -85,7 +85,8 @@ def test_linked_sets_share_a_shard():
         same = len(np.intersect1d(a, b))
         if len(b) and 100 * same >= 90 * (len(a) + len(b) - same):
             assert np.intersect1d(jaccard.shard_keys(a, 90), jaccard.shard_keys(b, 90)).size
-            assert jaccard.enough(np.minimum(jaccard.point(a).astype(int), jaccard.point(b)).sum(), len(a) + len(b), 90)
+            n = min(len(jaccard.point(a)), len(jaccard.point(b)))
+            assert jaccard.enough(np.minimum(jaccard.coarse(jaccard.point(a), n), jaccard.coarse(jaccard.point(b), n)).sum(), len(a) + len(b), 90)
 
 
 def test_tree_finds_what_the_bound_lets_through():
@@ -99,6 +100,15 @@ def test_tree_finds_what_the_bound_lets_through():
     assert got == want and len(want) < 1000 * 200
 
 
+def test_finer_points_add_up():
+    h = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64))
+    fine = jaccard.point(h)
+    assert len(fine) == 2048 and fine.sum() == len(h) and len(jaccard.point(h[:100])) == 32
+    assert (jaccard.coarse(fine, 32) == fine.reshape(32, 64).sum(axis=1)).all()
+    fine[3] = jaccard.MOST
+    assert jaccard.coarse(fine, 32)[0] == jaccard.UNBOUNDED
+
+
 def test_members_keep_components_apart():
     rows = pd.DataFrame({"shard": 1, "i": 0, "j": 0, "rep": range(40), "part": 0, "root": [0] * 38 + [38, 39], "size": 32, "point": [np.ones(jaccard.GROUPS, np.uint16).tobytes()] * 40})
     m = jaccard.Members(rows)

@@ -31,8 +31,11 @@ from .components import components
 SHINGLE = 3
 #: Sets link whose intersection is at least so many hundredths of their union.
 PERCENT = 90
-#: Coordinates of a point.
+#: Coordinates of a point in the tree; large sets also have finer ones, a power of two times as many.
 GROUPS = 32
+#: A finer point has a coordinate for about so many shingles, and FINEST coordinates at most.
+PER_GROUP = 4
+FINEST = 2048
 #: Points a leaf, children a node.
 FANOUT = 16
 #: Points a task holds of one shard; larger shards go in tiles of two parts.
@@ -43,8 +46,9 @@ GROWTH = 1.5
 HEADS = 256
 #: Pairs compared at once.
 STRIP = 65536
-#: A count of so many stands for any greater one.
+#: A count of so many stands for any greater one, which then bounds nothing.
 MOST = 65535
+UNBOUNDED = 1 << 40
 #: Classes up to which their list is broadcast to fetch their texts.
 FEW = 100_000
 #: Word hashes a worker remembers.
@@ -110,8 +114,18 @@ def shard_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    """Counts by hash group, MOST at most."""
-    return np.minimum(np.bincount((mixed(hashes + _MIX[2]) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), MOST).astype(np.uint16)
+    """Counts by hash group, MOST at most, as fine as the set's size suggests; neighbours add up to coarser counts."""
+    n = GROUPS
+    while n < FINEST and n * PER_GROUP < len(hashes):
+        n *= 2
+    group = (mixed(hashes + _MIX[2]) >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(group, minlength=n), MOST).astype(np.uint16)
+
+
+def coarse(fine: np.ndarray, n: int) -> np.ndarray:
+    """n coordinates of points with at least as many; what may be more than MOST has no bound."""
+    counts = np.where(fine == MOST, UNBOUNDED, fine.astype(np.int64))
+    return np.minimum(counts.reshape(*fine.shape[:-1], n, -1).sum(axis=-1), UNBOUNDED)
 
 
 def enough(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -158,12 +172,32 @@ class Members:
     def __init__(self, rows: pd.DataFrame):
         self.tile = rows[["shard", "i", "j"]].to_numpy(np.int64)
         self.rep, self.part, self.root, self.size = (rows[c].to_numpy(np.int64) for c in ("rep", "part", "root", "size"))
-        points = np.frombuffer(b"".join(map(bytes, rows["point"])), np.uint16).reshape(-1, GROUPS).astype(np.int64)
-        self.points = np.where(points == MOST, np.iinfo(np.int64).max // GROUPS, points)
-
-    def pairs(self, u: np.ndarray, v: np.ndarray, first: bool) -> np.ndarray:
+        self.fine = [np.frombuffer(bytes(p), np.uint16) for p in rows["point"]]
+        self.width = np.array([len(p) for p in self.fine], np.int64)
+        self.points = np.zeros((len(rows), GROUPS), np.int64)
+        for n in np.unique(self.width):
+            at = np.flatnonzero(self.width == n)
+            self.points[at] = coarse(np.stack([self.fine[i] for i in at]), GROUPS)
+
+    def finer(self, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+        """Which row pairs the summed minima of their finest common points let through."""
+        width = np.minimum(self.width[u], self.width[v])
+        keep = width == GROUPS
+        for n in np.unique(width[~keep]):
+            mine = np.flatnonzero(width == n)
+            for at in range(0, len(mine), STRIP * GROUPS // n):
+                some = mine[at : at + STRIP * GROUPS // n]
+                named, back = np.unique(np.r_[u[some], v[some]], return_inverse=True)
+                points = np.stack([coarse(self.fine[i], n) for i in named])
+                overlap = np.minimum(points[back[: len(some)]], points[back[len(some) :]]).sum(axis=1)
+                keep[some] = enough(overlap, self.size[u[some]] + self.size[v[some]], percent)
+        return keep
+
+    def pairs(self, u: np.ndarray, v: np.ndarray, percent: int, first: bool) -> np.ndarray:
         """(greater, lesser) rep of row pairs, those of one component left out; for ``first``, each greater's least."""
         keep = (self.rep[u] != self.rep[v]) & (self.root[u] != self.root[v])
+        u, v = u[keep], v[keep]
+        keep = self.finer(u, v, percent)
         u, v = self.rep[u[keep]], self.rep[v[keep]]
         found = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
         return found[np.r_[True, found[1:, 0] != found[:-1, 0]]] if first and len(found) else found
@@ -177,7 +211,7 @@ class Members:
             for at in range(0, len(u), STRIP):
                 x, y = u[at : at + STRIP], v[at : at + STRIP]
                 keep = enough(np.minimum(self.points[x], self.points[y]).sum(axis=1), self.size[x] + self.size[y], percent)
-                out.append(self.pairs(x[keep], y[keep], False))
+                out.append(self.pairs(x[keep], y[keep], percent, False))
         found = np.concatenate([*out, np.zeros((0, 2), np.int64)])
         if first and len(found):
             found = found[np.lexsort((found[:, 1], found[:, 0]))]
@@ -207,7 +241,7 @@ class Members:
             for at in range(0, len(asked), 1024):  # a block of questions walks the tree together
                 some = asked[at : at + 1024]
                 x, y = tree.within(self.points[some], self.size[some], percent)
-                out.append(self.pairs(some[x], held[y], first))
+                out.append(self.pairs(some[x], held[y], percent, first))
         return np.concatenate(out)
 
 
@@ -284,15 +318,18 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut_lineage(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     keyed = classes.select("rep", F.explode("keys").alias("key"))
-    shards = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")).where("n > 1")
-    shards = cut_lineage(shards.groupBy("n", "least", "most", "s", "x").agg(F.min("key").alias("shard")).select("shard", "n", "least", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
-    at_shard = join_dealt(keyed.withColumnRenamed("key", "shard"), shards, "shard", counts=shards.select("shard", F.col("n").alias("_n")))
+    shared = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    at_key = cut_lineage(join_dealt(keyed, shared.select("key"), "key", counts=shared))
+    marks = [F.min("rep").alias("least"), F.max("rep").alias("most"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")]
+    shards = at_key.groupBy("key").agg(F.count("*").alias("n"), *marks).groupBy("n", "least", "most", "s", "x").agg(F.min("key").alias("key"))
+    shards = cut_lineage(shards.select(F.col("key").alias("shard"), "n", "least", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
+    at_shard = join_dealt(at_key.withColumnRenamed("key", "shard"), shards, "shard", counts=shards.select("shard", F.col("n").alias("_n")))
     points = classes.select("rep", "size", "point")
     members = cut_lineage(at_shard.join(points, "rep"))
+    forget(shared, at_key)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs, by the whole texts of both."""
-        pairs = cut_lineage(pairs)
+        """Links among written candidate pairs, by the whole texts of both."""
         asked = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
         wanted = cut_lineage(asked.join(classes.select("rep", "_class", "_first"), "rep"))
         few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
@@ -321,16 +358,18 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         one = join_dealt(pairs, whole.select(F.col("rep").alias("u"), F.col("hashes").alias("_u")), "u")
         two = join_dealt(one, whole.select(F.col("rep").alias("v"), F.col("hashes").alias("_v")), "v", counts=pairs.groupBy("v").agg(F.count("*").alias("_n")))
         links = cut_lineage(two.where(linked("_u", "_v")).select("u", "v"))
-        forget(pairs, whole, wanted)
+        forget(whole, wanted)
         return links
 
-    some = verified(_tiles(members.withColumn("root", F.col("rep")), first=True, percent=percent, tile=tile))
+    tried = cut_lineage(_tiles(members.withColumn("root", F.col("rep")), first=True, percent=percent, tile=tile))
+    some = verified(tried)
     joined = components(some)
     rooted = cut_lineage(members.join(joined, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node"))
     forget(members)
     open_ = rooted.groupBy("shard").agg((F.min("root") < F.max("root")).alias("_open"), F.count("*").alias("_n")).where("_open")
     rest = join_dealt(rooted, open_.select("shard", "_open"), "shard", counts=open_.select("shard", "_n"))
-    more = verified(_tiles(rest, first=False, percent=percent, tile=tile))
+    left = cut_lineage(_tiles(rest, first=False, percent=percent, tile=tile).join(tried, ["u", "v"], "left_anti"))
+    more = verified(left)
     all_ = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     forget(rooted)
 
