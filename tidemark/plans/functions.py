@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import udfs
+from ..operators.incremental import LastReadings, WeightedMean, incremental
 from .registry import query, table
 
 
@@ -170,6 +171,21 @@ def n_udaf_mean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(total, 4).alias("mean"))
 
 
+@query("SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value * event_id) / sum(event_id), 6) AS mean, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def n_incremental_mean(spark: SparkSession, d: str) -> DataFrame:
+    """A user's own aggregate, by event type and day: accumulators combine in each task and merge after the shuffle."""
+    rows = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value", F.col("event_id").alias("weight"))
+    out = incremental(rows, ["event_type", "day"], ["value", "weight"], WeightedMean(), "mean double, n long")
+    return out.select("event_type", "day", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("SELECT 'all' AS key, count(*) AS n, min(value) AS lowest, max(value) AS highest, arg_max(value, ts) AS last FROM events WHERE value IS NOT NULL")
+def n_incremental_one_key(spark: SparkSession, d: str) -> DataFrame:
+    """The same of one key that holds every row."""
+    rows = table(spark, d, "events").select(F.lit("all").alias("key"), "ts", "value")
+    return incremental(rows, ["key"], ["ts", "value"], LastReadings(), "n long, lowest double, highest double, last double")
+
+
 @query(f"""
 SELECT event_id, NOT ({_LON} > -73.7 OR {_LON} < -74.05) AND NOT ({_LAT} > 41.0 OR {_LAT} < 40.5) AS inside,
        CAST(floor((74.05 - abs({_LON})) / 0.0014) + floor((41.0 - {_LAT}) / 0.00125) * 250 AS INTEGER) AS cell FROM

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..operators.incremental import LastReadings, incremental_stream
+from ..sources.sinks import fold
 from ..streaming import processors as P
-from ..streaming.run import finish, read_stream
-from .registry import query
+from ..streaming.late import late_windows
+from ..streaming.order import in_order
+from ..streaming.run import finish, read_stream, stepwise
+from ..streaming.topn import top_counts
+from .registry import query, table
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -119,3 +126,83 @@ def x_cumulative_stream(spark: SparkSession, d: str) -> DataFrame:
     per = e.groupBy("user_id", windows.tumble("ts", "1 day")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     out = finish(P.apply(windows.spread(per), ["user_id"], P.Cumulative(), "key long, window_start timestamp, n long, total double"))
     return _plain(out.withColumn("total", F.round("total", 6)))
+
+
+#: In which step a row of events arrives: thirds of a month by time, but some rows one or two steps later.
+_STEP = "CAST((day(ts) - 1) // 10 AS INTEGER) + CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 31 = 0 THEN 2 ELSE 0 END"
+
+
+def _steps(spark: SparkSession, d: str, n: int) -> list[DataFrame]:
+    """The events by step of arrival; what would come after the last comes with it."""
+    e = table(spark, d, "events").where("value is not null").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    late = F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 31 == 0, 2).otherwise(0)
+    step = F.least(F.floor((F.day("ts") - 1) / 10) + late, F.lit(n - 1))
+    return [e.where(step == k) for k in range(n)]
+
+
+_ARRIVED = f"""
+a AS (SELECT *, least({_STEP}, 3) AS step FROM events WHERE value IS NOT NULL),
+m AS (SELECT step, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL '1 hour' AS mark FROM a GROUP BY step),
+r AS (SELECT a.*, time_bucket(INTERVAL '1 day', ts) AS window_start, coalesce(time_bucket(INTERVAL '1 day', ts) + INTERVAL '13 days' <= mark, false) AS late FROM a JOIN m ON m.step = a.step)
+"""
+
+
+def _late(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    build = lambda s: late_windows(s, "event_type", "value", "ts", size_s=86_400, lateness_s=12 * 86_400, delay_s=3600)
+    return stepwise(_steps(spark, d, 4), build, outputs={"windows": F.col("kind") != "late", "late": F.col("kind") == "late"})
+
+
+@query(f"""
+WITH {_ARRIVED}
+SELECT event_type AS key, window_start, count(*) AS n, min(value) AS lowest, max(value) AS highest, round(sum(value), 6) AS total FROM r WHERE NOT late
+GROUP BY 1, 2 HAVING window_start + INTERVAL '1 day' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1 hour' FROM a)
+""")
+def x_late_windows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that fire again for rows up to 12 days late: the last row of each is the batch aggregate of all rows in time."""
+    w = _late(spark, d)["windows"]
+    last = w.groupBy("key", "window_start_ms").agg(F.max_by(F.struct("n", "lowest", "highest", "total"), "epoch").alias("r"))
+    start = F.timestamp_millis("window_start_ms").alias("window_start")
+    return _plain(last.select("key", start, "r.n", "r.lowest", "r.highest", F.round("r.total", 6).alias("total")))
+
+
+@query(f"WITH {_ARRIVED} SELECT event_type AS key, ts, window_start, value FROM r WHERE late")
+def x_late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The second output of the same query: rows that came after their window's lateness had passed."""
+    late = _late(spark, d)["late"]
+    return _plain(late.select("key", "ts", F.timestamp_millis("window_start_ms").alias("window_start"), F.col("highest").alias("value")))
+
+
+@query(f"""
+WITH a AS (SELECT *, least({_STEP}, 2) AS step FROM events WHERE value IS NOT NULL), s AS (SELECT unnest([0, 1, 2]) AS step),
+c AS (SELECT s.step, event_type AS key, user_id AS item, count(*) AS n FROM a JOIN s ON a.step <= s.step GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT step, key, CAST(row_number() OVER (PARTITION BY step, key ORDER BY n DESC, item) AS INTEGER) AS rank, item, n FROM c) WHERE rank <= 3
+""")
+def x_top_changes_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest users of each event type, continuously: the changes so far, folded after each of three micro-batches."""
+    changes = stepwise(_steps(spark, d, 3), lambda s: top_counts(s, "event_type", "user_id", 3), mode="update")["out"]
+    epochs = [r[0] for r in changes.select("epoch").distinct().orderBy("epoch").collect()]  # one for each step
+    tables = [fold(changes.where(F.col("epoch") <= e), ["key", "rank"], ["epoch", "seq"]).select(F.lit(k).alias("step"), "key", "rank", "item", "n") for k, e in enumerate(epochs)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query("""
+SELECT event_id, ts, row_number() OVER (ORDER BY ts) AS position FROM events
+WHERE value IS NOT NULL AND time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '25 days' FROM events WHERE value IS NOT NULL)
+""")
+def x_sorted_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream in the order of event time: a row's position is the rows of earlier micro-batches and its place in its own."""
+    build = lambda s: in_order(s.select("event_id", "ts"), "ts", delay_s=25 * 86_400, range_s=6 * 3600)
+    out = stepwise(_steps(spark, d, 4), build)["out"]
+    sizes = out.groupBy("epoch").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.epoch") < F.col("a.epoch"), "left").groupBy(F.col("a.epoch").alias("epoch")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("epoch").orderBy("ts"))
+    placed = out.withColumn("place", place).join(before, "epoch")
+    return _plain(placed.select("event_id", "ts", (F.col("before") + F.col("place")).alias("position")))
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS lowest, max(value) AS highest, arg_max(value, ts) AS last FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def x_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A user's own aggregate of a stream: state is one accumulator per key, merged with those of each micro-batch."""
+    build = lambda s: incremental_stream(s, ["event_type"], ["ts", "value"], LastReadings(), "n long, lowest double, highest double, last double")
+    out = stepwise(_steps(spark, d, 2), build, mode="update")["out"]
+    return out.groupBy("event_type").agg(F.max_by(F.struct("n", "lowest", "highest", "last"), "epoch").alias("r")).select("event_type", "r.*")

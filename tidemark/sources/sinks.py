@@ -157,6 +157,17 @@ def changelog(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.explode(ops).alias("_c")).select("_c.op", *keys, *[F.col(f"_c.row.{c}").alias(c) for c in cols])
 
 
+def fold(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The table that a changelog comes to: per key the last change by ``order``, unless it takes the row away.
+
+    ``order`` must tell the changes of a key apart. Works on all changes so far, or on the
+    table so far and a batch of changes. The columns but op and those of ``order`` come back.
+    """
+    cols = [c for c in changes.columns if c not in keys and c != "op" and c not in order]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct("op", *cols), F.struct(*order)).alias("_r"))
+    return last.where(F.col("_r.op").isin("+I", "+U")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
 def canal_json(changes: DataFrame) -> DataFrame:
     """A changelog as canal-json messages."""
     kind = F.when(F.col("op").isin("+I", "+U"), "INSERT").otherwise("DELETE")

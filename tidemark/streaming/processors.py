@@ -24,16 +24,20 @@ def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema:
 
 
 class Keyed(StatefulProcessor):
-    """Base: one value state of ``state_schema``, rows in the order of ``order``."""
+    """Base: one value state of ``state_schema``, rows in the order of ``order``.
+
+    With ``ttl_ms`` a key's state is gone so long after its last change, by processing
+    time, which the query must then run on.
+    """
 
     state_schema = "v double"
 
-    def __init__(self, order: str = "ts"):
-        self.order = order
+    def __init__(self, order: str = "ts", ttl_ms: int | None = None):
+        self.order, self.ttl_ms = order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema)
+        self.state = handle.getValueState("state", self.state_schema, self.ttl_ms)
 
     def sorted(self, rows: Iterator[Row]) -> list[Row]:
         return sorted(rows, key=lambda r: r[self.order])
@@ -48,8 +52,8 @@ class Keyed(StatefulProcessor):
 class RunningSum(Keyed):
     """(key, order, total): the sum so far, a row for each row."""
 
-    def __init__(self, column: str, order: str = "ts"):
-        super().__init__(order)
+    def __init__(self, column: str, order: str = "ts", ttl_ms: int | None = None):
+        super().__init__(order, ttl_ms)
         self.column = column
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -63,8 +67,8 @@ class RunningSum(Keyed):
 class ChangeAlert(Keyed):
     """(key, order, before, value): rows that differ from their key's last one by more than ``limit``; a first row never does."""
 
-    def __init__(self, column: str, limit: float, order: str = "ts", idle_ms: int | None = None):
-        super().__init__(order)
+    def __init__(self, column: str, limit: float, order: str = "ts", idle_ms: int | None = None, ttl_ms: int | None = None):
+        super().__init__(order, ttl_ms)
         self.column, self.limit, self.idle_ms = column, limit, idle_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:

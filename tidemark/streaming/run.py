@@ -4,27 +4,79 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ROCKSDB
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or temporary where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder that driver and executors share: below spark.checkpoint.dir; a temporary one in local mode only, where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store of queries that start inside; each keeps the settings that it starts with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def _run(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> None:
+    trigger = {"once": True} if once else {"availableNow": True}
+    with _rocksdb(df.sparkSession):
+        query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    query.awaitTermination()
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """A table as a stream, its event times as timestamps."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}*.parquet")
     return df.withColumns({f.name: df[f.name].cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
+def _kept(base: str, outputs: dict[str, Column | None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes a batch's rows to each output whose condition they meet, under the batch's epoch.
+
+    A batch that runs again replaces what it has written.
+    """
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        if len(outputs) > 1:
+            batch.persist()
+        try:
+            if not batch.isEmpty():
+                for name, condition in outputs.items():
+                    rows = batch if condition is None else batch.where(condition)
+                    rows.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+        finally:
+            batch.unpersist()
+
+    return keep
+
+
+def _written(spark: SparkSession, path: str, schema: StructType, epochs: bool = False) -> DataFrame:
+    """What ``_kept`` wrote, with the epoch as a column if asked for."""
+    full = StructType([*schema.fields, StructField("epoch", LongType())])
+    df = spark.read.schema(full).parquet(path) if _exists(spark, path) else spark.createDataFrame([], full)
+    return df if epochs else df.drop("epoch")
+
+
 def finish(df: DataFrame, mode: str = "append", once: bool = False) -> DataFrame:
     """All that a stream emits by the end of its input, from a checkpointed query into files.
 
@@ -32,14 +84,35 @@ def finish(df: DataFrame, mode: str = "append", once: bool = False) -> DataFrame
     time always ask for another batch, so their queries run ``once``.
     """
     spark, base = df.sparkSession, shared_folder(df.sparkSession)
+    keep = _kept(base, {"out": None})
+    write = (lambda batch, epoch: keep(batch, 0)) if mode == "complete" else keep
+    _run(df, mode, write, f"{base}/state", once)
+    return _written(spark, f"{base}/out", df.schema)
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        if not batch.isEmpty():
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(**({"once": True} if once else {"availableNow": True})).start()
-    query.awaitTermination()
-    return spark.createDataFrame([], df.schema).unionByName(spark.read.schema(df.schema).option("ignoreMissingFiles", True).parquet(f"{base}/out")) if _exists(spark, f"{base}/out") else spark.createDataFrame([], df.schema)
+def stepwise(steps: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], *, mode: str = "append", outputs: dict[str, Column] | None = None, once: bool = False, folder: str | None = None, checkpoint: str = "state") -> dict[str, DataFrame]:
+    """A stream whose input arrives in steps; the query stops after each and goes on from its checkpoint with the next.
+
+    ``build`` makes the query from the stream of the steps' rows. Each of ``outputs`` (name:
+    condition; one named "out" with all rows if none is given) comes back as a table with
+    the column epoch, the micro-batch that wrote a row; all are written by the one query.
+    ``folder`` continues what an earlier call left there, from its checkpoint or from
+    ``checkpoint``, a copy of that which was made in the folder meanwhile; such a run has
+    outputs of its own.
+    """
+    base, read, schema, result = folder, 0, None, None
+    conditions = outputs or {"out": None}
+    for step in steps:
+        spark, schema = step.sparkSession, step.schema
+        base = base or shared_folder(spark)
+        step.write.mode("append").parquet(f"{base}/in")
+        result = build(spark.readStream.schema(schema).parquet(f"{base}/in"))
+        to = base if checkpoint == "state" else f"{base}/from-{checkpoint}"
+        _run(result, mode, _kept(to, conditions), f"{base}/{checkpoint}", once)
+        read += 1
+    if not read:
+        raise ValueError("no steps")
+    return {name: _written(spark, f"{to}/{name}", result.schema, True) for name in conditions}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
