@@ -58,6 +58,18 @@ def asof_join(left: DataFrame, versions: VersionedTable, on: str, ts: str, *, ho
     return chosen.select("_l.*", *[F.col("_got").getField(f"_v{i}").alias(prefix + c) for i, c in enumerate(right_cols)])
 
 
+def star_join(facts: DataFrame, ts: str, roles: dict[str, tuple[VersionedTable, str]], *, slice_s: int = 86_400) -> DataFrame:
+    """Facts with the versions, valid at their time, of dimensions in several roles; batch.
+
+    ``roles`` names, for each role, the dimension and the fact's column that refers to its
+    key; its columns come back with the role and an underscore before their names, null
+    where no version was valid.
+    """
+    for role, (dimension, on) in roles.items():
+        facts = asof_join(facts, dimension, on, ts, how="left", prefix=f"{role}_", slice_s=slice_s)
+    return facts
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: Column, left_ts: Column, right_ts: Column, lower: str, upper: str, how: str = "inner") -> DataFrame:
     """Pairs with left_ts + lower <= right_ts <= left_ts + upper. In streaming both sides need a watermark, which bounds the state."""
     return left.join(right, on & right_ts.between(left_ts + F.expr(f"INTERVAL {lower}"), left_ts + F.expr(f"INTERVAL {upper}")), how)

@@ -128,15 +128,16 @@ def j_inner(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
 
 
-@query("SELECT c_custkey, c_name FROM orders RIGHT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey, c_name FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') RIGHT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
 def j_right_null(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "right")
+    """Customers without an order of one status."""
+    both = table(spark, d, "orders").where("o_orderstatus = 'P'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "right")
     return both.where("o_orderkey is null").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def j_anti_equiv(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    orders = table(spark, d, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey")
     return joins.unmatched(table(spark, d, "customer"), orders, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -193,6 +194,23 @@ def j_asof_left_star(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_join(one, errors, "user_id", "ts", how="left").select("event_id", F.col("version").alias("signup"), "error")
 
 
+@query(f"""
+SELECT p.event_id, v.version AS own, w.version AS partner, x.version AS error
+FROM (SELECT *, event_id % 13 AS partner_id FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN ({_VERSIONS}) v ON p.user_id = v.user_id AND p.ts >= v.ts
+ASOF LEFT JOIN ({_VERSIONS}) w ON p.partner_id = w.user_id AND p.ts >= w.ts
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_type = 'error' GROUP BY user_id, ts) x ON p.partner_id = x.user_id AND p.ts >= x.ts
+""")
+def j_star_two_roles(spark: SparkSession, d: str) -> DataFrame:
+    """A fact with one dimension in two roles, and another one."""
+    e = table(spark, d, "events")
+    rows = e.where("event_type = 'purchase'").select("event_id", "user_id", F.expr("event_id % 13").alias("partner_id"), "ts")
+    errors = joins.VersionedTable(e.where("event_type = 'error'").groupBy("user_id", F.col("ts").alias("error_ts")).agg(F.max("event_id").alias("error")), "user_id", "error_ts")
+    signups = _versions(spark, d)
+    out = joins.star_join(rows, "ts", {"own": (signups, "user_id"), "partner": (signups, "partner_id"), "of": (errors, "partner_id")})
+    return out.select("event_id", F.col("own_version").alias("own"), F.col("partner_version").alias("partner"), F.col("of_error").alias("error"))
+
+
 @query("""
 WITH v AS (SELECT user_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to, max_id AS version
            FROM (SELECT user_id, ts, max(event_id) AS max_id FROM events WHERE event_type = 'signup' GROUP BY user_id, ts))

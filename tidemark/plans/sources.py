@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rank
-from ..sources import sinks
+from ..sources import changes, sinks
 from ..sources.fake import FakeDataSource
 from ..sources.tables import Catalog, TableDef
 from ..sources.topics import Topic
@@ -51,6 +51,39 @@ def s_upsert(spark: SparkSession, d: str) -> DataFrame:
     return rank.latest_by_key(table(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_type")
 
 
+_CHANGES = "SELECT o_custkey AS k, o_orderdate AS ts, o_orderkey AS n, o_orderstatus = 'F' AS deleted, round(o_totalprice, 2) AS price FROM orders"
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a customer's change records: a tombstone for each finished one."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("n"), (F.col("o_orderstatus") == "F").alias("deleted"), F.round("o_totalprice", 2).alias("price"))
+    return changes.encoded(o, ["k"], deleted="deleted", raw_key=True, beside=["ts", "n"])
+
+
+@query(f"WITH c AS ({_CHANGES}) SELECT k, n, price FROM (SELECT k, arg_max(deleted, (ts, n)) AS deleted, arg_max(n, (ts, n)) AS n, arg_max(price, (ts, n)) AS price FROM c GROUP BY k) WHERE NOT deleted")
+def s_upsert_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed change stream with tombstones, kept as a table in two batches that rewrite only the buckets of their keys."""
+    rows = changes.decoded(_records(spark, d), "k long", "price double", raw_key="k")
+    path, half = shared_folder(spark), F.col("ts") < "1995-06-01"
+    keep = changes.bucketed_upsert(path, ["k"], ["ts", "n"], buckets=16)
+    for epoch, part in enumerate([rows.where(half), rows.where(~half)]):
+        keep(part, epoch)
+    return changes.read_bucketed(spark, path, "k long, price double, ts timestamp, n long").select("k", "n", "price")
+
+
+@query(f"""
+WITH c AS (SELECT k, ts, max(n) FILTER (NOT deleted) AS n FROM ({_CHANGES}) GROUP BY k, ts), l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate FROM lineitem)
+SELECT l_orderkey, l_linenumber, c.n FROM l ASOF JOIN c ON l.l_suppkey = c.k AND l.l_shipdate >= c.ts WHERE c.n IS NOT NULL
+""")
+def s_upsert_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The same change stream as a versioned table: a deletion ends a version."""
+    rows = changes.decoded(_records(spark, d), "k long", "price double", raw_key="k")
+    latest = rows.groupBy("k", "ts").agg(F.bool_and("deleted").alias("deleted"), F.max(F.when(~F.col("deleted"), F.col("n"))).alias("n"))
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    out = changes.asof_changes(line, latest, "l_suppkey", "l_shipdate", key="k", change_ts="ts", slice_s=90 * 86_400)
+    return out.select("l_orderkey", "l_linenumber", "n")
+
+
 @query("SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def s_csv(spark: SparkSession, d: str) -> DataFrame:
     """One CSV file with a header, written and read with its schema."""

@@ -14,6 +14,7 @@ from ..streaming import processors as P
 from ..streaming.late import late_windows
 from ..streaming.order import in_order
 from ..streaming.run import finish, read_stream, stepwise
+from ..streaming.star import Dimension, Role, assembled, resolved
 from ..streaming.topn import top_counts
 from .registry import query, table
 
@@ -106,12 +107,16 @@ def x_rules_stream(spark: SparkSession, d: str) -> DataFrame:
     return _plain(out.withColumn("value", F.round("value", 6)))
 
 
-@query("SELECT event_id, CAST(0 AS BIGINT) AS watermark_ms, false AS late FROM events")
+@query("""
+WITH a AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS step FROM events), m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10 days' AS mark FROM a WHERE step = 0)
+SELECT event_id, CASE step WHEN 0 THEN 0 ELSE epoch_ms(mark) END AS watermark_ms, step = 1 AND date_trunc('millisecond', ts) < mark AS late FROM a, m
+""")
 def x_late_tag_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Rows tagged with the watermark; in the first micro-batch of a stream none is late."""
-    e = read_stream(spark, d, "events").withWatermark("ts", "5 seconds").select("event_id", "ts", "user_id")
-    out = finish(P.apply(e, ["user_id"], P.LateTag(["event_id"]), "event_id long, watermark_ms long, late boolean", "append", "processingTime"), once=True)
-    return out.withColumn("watermark_ms", F.greatest(F.col("watermark_ms"), F.lit(0).cast("long")))
+    """Rows tagged with the watermark: every third row comes in a second micro-batch, behind the first one's watermark or not."""
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    tag = lambda s: P.apply(s.withWatermark("ts", "10 days"), ["user_id"], P.LateTag(["event_id"]), "event_id long, watermark_ms long, late boolean", "append", "processingTime")
+    out = stepwise([e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")], tag, once=True)["out"]
+    return out.select("event_id", F.greatest(F.col("watermark_ms"), F.lit(0).cast("long")).alias("watermark_ms"), "late")
 
 
 @query("""
@@ -206,3 +211,24 @@ def x_incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     build = lambda s: incremental_stream(s, ["event_type"], ["ts", "value"], LastReadings(), "n long, lowest double, highest double, last double")
     out = stepwise(_steps(spark, d, 2), build, mode="update")["out"]
     return out.groupBy("event_type").agg(F.max_by(F.struct("n", "lowest", "highest", "last"), "epoch").alias("r")).select("event_type", "r.*")
+
+
+@query("""
+WITH v AS (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_type = 'signup' GROUP BY user_id, ts), x AS (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_type = 'error' GROUP BY user_id, ts)
+SELECT p.event_id, v.version AS own, w.version AS partner, x.version AS error
+FROM (SELECT *, event_id % 13 AS partner_id FROM events WHERE event_type = 'purchase' AND date_trunc('millisecond', ts) < (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE event_type IN ('purchase', 'signup', 'error'))) p
+ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts ASOF LEFT JOIN v w ON p.partner_id = w.user_id AND p.ts >= w.ts ASOF LEFT JOIN x ON p.partner_id = x.user_id AND p.ts >= x.ts
+""")
+def x_star_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases with the sign-ups of two roles and the errors of one, in one stateful pass; arrivals in two steps."""
+    e = table(spark, d, "events").where("event_type in ('purchase', 'signup', 'error')").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    roles = {"own": Role("signups", "user_id"), "partner": Role("signups", "partner_id"), "error": Role("errors", "partner_id")}
+
+    def build(s: DataFrame) -> DataFrame:
+        facts = s.where("event_type = 'purchase'").select("event_id", "user_id", F.expr("event_id % 13").alias("partner_id"), "ts")
+        version = lambda kind: Dimension(s.where(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias("version")), "user_id", "ts")
+        return resolved(facts, "ts", {"signups": version("signup"), "errors": version("error")}, roles)
+
+    out = stepwise([e.where("day(ts) <= 15"), e.where("day(ts) > 15")], build)["out"]
+    stars = assembled(out, "event_id long", dict.fromkeys(roles, "version long"))
+    return stars.select("event_id", *[F.col(f"{r}.version").alias(r) for r in roles])
