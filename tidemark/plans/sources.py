@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rank
 from ..sources import changes, sinks
 from ..sources.fake import FakeDataSource
+from ..sources.rolling import RollingSource
 from ..sources.tables import Catalog, TableDef
 from ..sources.topics import Topic
 from ..streaming.run import shared_folder
@@ -150,3 +151,13 @@ def d_table_def(spark: SparkSession, d: str) -> DataFrame:
     c = Catalog(spark)
     c.create(TableDef("declared_events", "event_id long, user_id long, event_type string", options={"path": f"{d}/events.parquet"}, computed={"twice": "user_id * 2"}))
     return spark.sql("SELECT * FROM declared_events")
+
+
+@query("SELECT event_id, user_id FROM events")
+def k_rolling_files(spark: SparkSession, d: str) -> DataFrame:
+    """A text sink whose parts are closed after so many rows, read back."""
+    spark.dataSource.register(RollingSource)
+    path = shared_folder(spark)
+    lines = table(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    lines.write.format("rolling").options(path=path, prefix="events", suffix=".json", maxrows=1000).mode("append").save()
+    return spark.read.schema("event_id long, user_id long").json(f"{path}/events-*.json")
