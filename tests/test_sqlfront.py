@@ -98,3 +98,48 @@ def test_ddl(spark):
     got = spark.table("probes").collect()
     assert len(got) == 12 and {r["unit"] for r in got} <= {"km", "m", "ft"} and all(r["depth_cm"] == 100 * r["depth_m"] and 3 <= r["depth_m"] <= 40 for r in got)
     assert spark.table("probes").columns == ["probe", "depth_m", "unit", "seen", "depth_cm"]
+
+
+def test_statements(spark, tmp_path):
+    from tidemark.streaming.run import shared_folder
+
+    spark.createDataFrame([(i, "ab"[i % 2], at(i)) for i in range(6)], "id long, k string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(99, "z", at(9))], "id long, k string, ts timestamp").write.parquet(f"{tmp_path}/other")
+    catalog = Catalog(spark)
+    run = lambda text, **k: sqlfront.run(catalog, text, **k)
+    run(f"CREATE TABLE src (id BIGINT, k STRING, ts TIMESTAMP(3), twice AS id * 2, WATERMARK FOR ts AS ts - INTERVAL '5' SECOND, PRIMARY KEY (id) NOT ENFORCED) WITH ('connector' = 'filesystem', 'path' = '{tmp_path}/in')")
+    run(f"CREATE TABLE dst (name STRING, n BIGINT) PARTITIONED BY (name) WITH ('connector' = 'filesystem', 'path' = '{tmp_path}/out');")
+    run("CREATE TABLE hole (id BIGINT) WITH ('connector' = 'blackhole')")
+    assert [r["name"] for r in run("SHOW TABLES").collect()] == ["dst", "hole", "src"]
+    assert [tuple(r) for r in run("DESCRIBE src").collect()] == [("id", "bigint", True, False, False), ("k", "string", False, False, False), ("ts", "timestamp", False, False, True), ("twice", "bigint", False, True, False)]
+    assert run("DESCRIBE hole").count() == 1 and "Scan" in run("EXPLAIN PLAN FOR SELECT * FROM src").first()["plan"]
+    assert run(f"SELECT * FROM src /*+ OPTIONS('path'='{tmp_path}/other') */ WHERE src.id > 5;").count() == 1
+    assert run(f"SELECT x.id FROM src /*+ OPTIONS('path'='{tmp_path}/other') */ AS x").count() == 1 and run("SELECT * FROM src").count() == 6
+    for _ in range(2):
+        run("INSERT INTO dst SELECT k, count(*) FROM src GROUP BY k")
+    assert sorted((r["name"], r["n"]) for r in run("SELECT name, n FROM dst").collect()) == [("a", 3), ("a", 3), ("b", 3), ("b", 3)]
+    run("INSERT OVERWRITE dst SELECT k, sum(twice) FROM src GROUP BY k")
+    assert sorted((r["name"], r["n"]) for r in run("SELECT name, n FROM dst").collect()) == [("a", 12), ("b", 18)]
+    with pytest.raises(ValueError, match="2 columns"):
+        run("INSERT INTO dst SELECT k FROM src")
+    run("SET 'execution.runtime-mode' = 'streaming'")
+    run(f"CREATE TABLE live (name STRING, n BIGINT) WITH ('connector' = 'filesystem', 'path' = '{tmp_path}/live')")
+    q = run("INSERT INTO live SELECT k, id FROM src", checkpoint=shared_folder(spark))
+    q.processAllAvailable()
+    q.stop()
+    run("SET 'execution.runtime-mode' = 'batch'")
+    assert run("SELECT * FROM live").count() == 6
+    run(f"ALTER TABLE live SET ('path' = '{tmp_path}/other')")
+    assert catalog.tables["live"].options["path"].endswith("other")
+    run("DROP TABLE hole")
+    run("DROP TABLE IF EXISTS hole")
+    with pytest.raises(KeyError):
+        run("DROP TABLE hole")
+
+
+def test_time_columns_of_group_windows(t):
+    assert t("SELECT TUMBLE_ROWTIME(ts, INTERVAL '5' SECOND) AS r, count(*) FROM t GROUP BY TUMBLE(ts, INTERVAL '5' SECOND)")[0] == (at(5) - timedelta(milliseconds=1), 3)
+    assert t("SELECT HOP_ROWTIME(ts, INTERVAL '5' SECOND, INTERVAL '10' SECOND) AS r FROM t WHERE id = 4 GROUP BY HOP(ts, INTERVAL '5' SECOND, INTERVAL '10' SECOND)") == [(at(15) - timedelta(milliseconds=1),), (at(20) - timedelta(milliseconds=1),)]
+    assert t("SELECT SESSION_ROWTIME(ts, INTERVAL '5' SECOND) AS e FROM t GROUP BY SESSION(ts, INTERVAL '5' SECOND)") == [(at(16) - timedelta(milliseconds=1),), (at(35) - timedelta(milliseconds=1),)]
+    made = t("SELECT TUMBLE_PROCTIME(ts, INTERVAL '5' SECOND) AS p FROM t GROUP BY TUMBLE(ts, INTERVAL '5' SECOND)")
+    assert len(made) == 4 and len(set(made)) == 1 and made[0][0] > at(0)

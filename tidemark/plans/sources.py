@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sqlfront
 from ..operators import rank
 from ..sources import changes, sinks
 from ..sources.fake import FakeDataSource
@@ -161,3 +162,21 @@ def k_rolling_files(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("value"))
     lines.write.format("rolling").options(path=path, prefix="events", suffix=".json", maxrows=1000).mode("append").save()
     return spark.read.schema("event_id long, user_id long").json(f"{path}/events-*.json")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * 2, 2) AS doubled FROM lineitem WHERE l_returnflag = 'R'")
+def d_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Tables declared, altered, described and filled by statements alone."""
+    catalog, path = Catalog(spark), shared_folder(spark)
+    statements = [
+        f"CREATE TABLE lines (l_orderkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, l_returnflag STRING, doubled AS round(l_extendedprice * 2, 2)) WITH ('connector' = 'filesystem', 'path' = '{d}/lineitem.parquet', 'format' = 'parquet')",
+        f"CREATE TABLE returned (okey BIGINT, line INT, doubled DOUBLE, PRIMARY KEY (okey, line) NOT ENFORCED) WITH ('connector' = 'filesystem', 'path' = '{path}/nowhere', 'format' = 'json')",
+        f"ALTER TABLE returned SET ('path' = '{path}/returned')",
+        "CREATE TABLE nothing (n BIGINT) WITH ('connector' = 'blackhole')",
+        "INSERT INTO nothing SELECT l_orderkey FROM lines",
+        "DROP TABLE IF EXISTS nothing",
+        f"INSERT OVERWRITE returned SELECT l_orderkey, l_linenumber, doubled FROM lines /*+ OPTIONS('path' = '{d}/lineitem.parquet') */ WHERE l_returnflag SIMILAR TO 'R'",
+    ]
+    for text in statements:
+        sqlfront.run(catalog, text)
+    return sqlfront.run(catalog, "SELECT okey AS l_orderkey, line AS l_linenumber, doubled FROM returned")

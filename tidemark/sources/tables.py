@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,16 @@ class Catalog:
 
     def create(self, table: TableDef) -> None:
         self.tables[table.name] = table
-        table.read(self.spark, self.mode == "streaming").createOrReplaceTempView(table.name)
+        if table.format in ("noop", "console"):  # these are only written
+            return
+        try:
+            rows = table.read(self.spark, self.mode == "streaming")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], table.schema)  # nothing has been written to it yet
+            rows = rows.withColumns({c: F.expr(e) for c, e in table.computed.items()})
+        rows.createOrReplaceTempView(table.name)
 
     def alter(self, name: str, **options: Any) -> None:
         self.create(self.tables[name].with_options(**options))
