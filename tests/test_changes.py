@@ -95,6 +95,9 @@ def test_star_join_of_streams(spark):
 
     parts = [[r for r in rows if r[4] and lo <= (r[4] - T0).total_seconds() < hi] for lo, hi in ((0, 60), (60, 130), (130, 2000))]
     parts[1].append(parts[0].pop())  # one comes late, in time
+    facts.append((77, "k1", "k2", sec(50)))  # waits at the watermark when the first step ends
+    parts[0].append(("f", 77, "k1", "k2", sec(50), None, None))
+    parts[0].append(("2", None, "k9", None, sec(80), None, 0.0))
     out = stepwise([spark.createDataFrame(p, schema) for p in parts], build)["out"]
     got = assembled(out, "id int, ts timestamp", {"a": "n int, v string", "b": "v string", "x": "w double"})
     assert {r["ts"] for r in got.collect()} >= {sec(0), sec(5)}

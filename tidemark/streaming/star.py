@@ -43,8 +43,8 @@ class Lookups(StatefulProcessor):
         self.timer = handle.getValueState("timer", "ms long")
 
     def wake(self, us: int) -> None:
-        """Sets the timer just before a fact's time, unless an earlier one is set."""
-        ms = us // 1000 - 1
+        """Sets the timer just after a fact's time, unless an earlier one is set. So none is set anew while it expires, which Spark would delete."""
+        ms = us // 1000 + 1
         before = self.timer.get()[0] if self.timer.exists() else None
         if before is None or ms < before:
             if before is not None:
