@@ -23,6 +23,27 @@ def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema:
     return df.groupBy(*keys).transformWithState(processor, schema, mode, time, **args)
 
 
+class Alarm:
+    """One event-time timer for a key, for the earliest time asked for; so that waiting rows are gone through once a watermark, not once a row."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.state = handle.getValueState("alarm", "ms long")
+
+    def ask(self, at: datetime) -> None:
+        """Wakes once the watermark is past a time. A millisecond later: Spark deletes a timer that is set anew while it expires."""
+        ms = int(at.timestamp() * 1000) + 1
+        before = self.state.get()[0] if self.state.exists() else None
+        if before is None or ms < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.state.update((ms,))
+
+    def rang(self) -> None:
+        self.state.clear()
+
+
 class Keyed(StatefulProcessor):
     """Base: one value state of ``state_schema``, rows in the order of ``order``.
 
@@ -247,30 +268,42 @@ class AsOf(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.alarm = Alarm(handle)
         self.versions = handle.getListState("versions", "ts timestamp, version string")
         self.waiting = handle.getListState("waiting", "ts timestamp, id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        versions, waiting = [], []
         for r in rows:
             if r["tag"] == "version":
-                self.versions.appendValue((r["ts"], r["version"]))
+                versions.append((r["ts"], r["version"]))
             else:
-                self.waiting.appendValue((r["ts"], r["id"]))
-                self.handle.registerTimer(int(r["ts"].timestamp() * 1000))
+                waiting.append((r["ts"], r["id"]))
+        if versions:
+            self.versions.appendList(versions)
+        if waiting:
+            self.waiting.appendList(waiting)
+            self.alarm.ask(min(w[0] for w in waiting))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.alarm.rang()
         mark = timerValues.getCurrentWatermarkInMs() / 1000
         versions, waiting = sorted(self.versions.get()), list(self.waiting.get())
         due = sorted(w for w in waiting if w[0].timestamp() <= mark)
-        out = []
+        out, at = [], -1
         for ts, i in due:
-            valid = [v for v in versions if v[0] <= ts]
-            out.append(Row(key=key[0], ts=ts, id=i, version_ts=valid[-1][0] if valid else None, version=valid[-1][1] if valid else None))
+            while at + 1 < len(versions) and versions[at + 1][0] <= ts:
+                at += 1
+            out.append(Row(key=key[0], ts=ts, id=i, version_ts=versions[at][0] if at >= 0 else None, version=versions[at][1] if at >= 0 else None))
         old = [v for v in versions if v[0].timestamp() <= mark]
         self.versions.put(old[-1:] + [v for v in versions if v[0].timestamp() > mark]) if versions else None
         rest = [w for w in waiting if w[0].timestamp() > mark]
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.alarm.ask(min(w[0] for w in rest))
+        else:
+            self.waiting.clear()
         return iter(out)
 
     def close(self) -> None:
@@ -331,21 +364,26 @@ class PatternMatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.alarm = Alarm(handle)
         self.rows = handle.getListState("rows", self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.rows.appendValue(tuple(r[c] for c in self.names))
-            self.handle.registerTimer(int(r[self.ts].timestamp() * 1000))
+        new = list(rows)
+        self.rows.appendList([tuple(r[c] for c in self.names) for r in new])
+        self.alarm.ask(min(r[self.ts] for r in new))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.alarm.rang()
         mark = datetime.fromtimestamp(timerValues.getCurrentWatermarkInMs() / 1000)
         kept = [dict(zip(self.names, r, strict=True)) for r in self.rows.get()]
         due = sorted((r for r in kept if r[self.ts] <= mark), key=lambda r: [r[c] for c in self.order])
         found, done = settled(due, self.pattern, self.define, self.after, self.within and (self.ts, self.within), mark)
-        rest = due[done:] + [r for r in kept if r[self.ts] > mark]
+        later = [r for r in kept if r[self.ts] > mark]
+        rest = due[done:] + later
         self.rows.put([tuple(r[c] for c in self.names) for r in rest]) if rest else self.rows.clear()
+        if later:
+            self.alarm.ask(min(r[self.ts] for r in later))
         return iter([Row(key=key[0], **{k: f(m) for k, f in self.measures.items()}) for m in found])
 
     def close(self) -> None:
