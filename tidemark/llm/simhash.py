@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, forget, join_dealt
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -132,12 +132,13 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, agree: int = 1, tile: int =
     """Forests (u, v) over distinct fingerprints (_fp) that hold every link within the radius."""
     unsigned = (1 << 64) - 1
     choices = [F.struct(F.lit(k).alias("t"), F.col("_fp").bitwiseAND(F.lit(int(np.uint64(m & unsigned).view(np.int64)))).alias("key")) for k, m in enumerate(masks(radius, agree))]
-    keyed = nodes.select("_fp", F.inline(F.array(*choices)))
-    large = keyed.groupBy("t", "key").count().where(F.col("count") > tile).select(F.col("t").alias("_t"), F.col("key").alias("_key"), F.ceil(F.col("count") / tile).cast("int").alias("_n"))
-    parts = F.coalesce(F.col("_n"), F.lit(1))
+    keyed = nodes.select("_fp", F.inline(F.array(*choices))).select("_fp", F.struct("t", "key").alias("_shard"))
+    counts = cut_lineage(keyed.groupBy("_shard").agg(F.count("*").alias("_n")).where("_n > 1"))  # a fingerprint alone in its shard has no link there
+    sizes = counts.select("_shard", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    parts = F.col("_tiles")
     dealt = (
-        keyed.join(large, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left")
-        .select("_fp", "t", "key", F.pmod(F.xxhash64("_fp"), parts).cast("int").alias("part"), parts.alias("n"))
+        join_dealt(keyed, sizes, "_shard", counts=counts)
+        .select("_fp", "_shard.t", "_shard.key", F.pmod(F.xxhash64("_fp"), parts).cast("int").alias("part"), parts.alias("n"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         .select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "_fp")
         .repartition("t", "key", "i", "j")
@@ -172,11 +173,17 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, agree: int = 1, tile: int =
 def _classified(docs: DataFrame, id_col: str, text_col: str, agree: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """fingerprints() of the rows, and per fingerprint (_class) its component: _root and component_id."""
     prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col))
-    nodes = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
+    nodes = cut_lineage(prints.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")))
     joined = components(links(nodes.select("_fp"), agree=agree, tile=tile))
-    classes = nodes.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    least = classes.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return prints, classes.join(least, "_root").select(F.col("_fp").alias("_class"), "_root", "component_id")
+    classes = cut_lineage(nodes.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", "_n", F.coalesce("root", "_fp").alias("_root")))
+    forget(nodes)
+    least = classes.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_n"))
+    return prints, join_dealt(classes, least.drop("_n"), "_root", counts=least.select("_root", "_n")).select("_fp", "_root", "_n", "component_id")
+
+
+def _by_class(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with their fingerprint's class; one fingerprint may have most rows (empty texts, copies of a page)."""
+    return join_dealt(prints, classes.drop("_n"), "_fp", counts=classes.select("_fp", "_n"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", agree: int = 1, tile: int = TILE) -> DataFrame:
@@ -187,16 +194,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Other columns are ignored; an empty table gives no rows. ``agree`` sets how many bits
     shards share: 1 suits up to about 10^8 distinct fingerprints, 2 to 10^11.
     """
-    prints, classes = _classified(docs, id_col, text_col, agree, tile)
-    named = prints.join(classes, F.col("_fp") == F.col("_class"))
+    named = _by_class(*_classified(docs, id_col, text_col, agree, tile))
     return named.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", agree: int = 1, tile: int = TILE) -> DataFrame:
     """One row of each component, that of the smallest id (nulls last), columns as they were."""
-    prints, classes = _classified(docs, id_col, text_col, agree, tile)
+    named = _by_class(*_classified(docs, id_col, text_col, agree, tile))
     order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_mark")
-    first = prints.join(classes, F.col("_fp") == F.col("_class")).groupBy("_root").agg(F.min(order).alias("_first")).select(F.col("_first._id").alias("_keep"), F.col("_first._mark").alias("_text"))
+    first = named.groupBy("_root").agg(F.min(order).alias("_first")).select(F.col("_first._id").alias("_keep"), F.col("_first._mark").alias("_text"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_mark"))
     kept = rows.join(first, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_mark") == F.col("_text"))).dropDuplicates(["_id", "_mark"])
     return kept.select("_row.*")
