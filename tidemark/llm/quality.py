@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 WIDTH, FILTERS, HIDDEN, CHUNK = 6, 16, 16, 512
 STRIDE = CHUNK - WIDTH + 1
-#: The bounded sample of labelled rows that the model is fitted on: documents of each class, none of which is longer than so many bytes.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 1 << 16
+#: The bounded sample of labelled rows that the model is fitted on: documents of each class, of any length.
+SAMPLE_PER_CLASS = 2000
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 10, 1200, 32, 0.01, 17
 THRESHOLD = 0.7
-#: Chunks convolved at once.
-BLOCK = 64
+#: Chunks convolved at once in scoring and in learning.
+BLOCK, LEARN_BLOCK = 64, 1024
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -78,14 +78,17 @@ class Network:
         """One text's chunks are pooled at a time, so memory grows with the longest text only."""
         if not texts:
             return np.zeros(0)
-        made = [chunked([t])[0] for t in texts]
-        pooled = np.concatenate([self.pool(c) for c in made])
-        return self.head(pooled, np.array([len(c) for c in made]))[2]
+        pooled = [self.pool(chunked([t])[0]) for t in texts]
+        return self.head(np.concatenate(pooled), np.array([len(p) for p in pooled]))[2]
 
     def gradients(self, chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        acts = convolve(self.p["tables"], chunks)
-        where = acts.argmax(axis=1)  # [chunk, filter]
-        pooled = np.maximum(np.take_along_axis(acts, where[:, None], axis=1)[:, 0] + self.p["bias"], 0)
+        top_of = []
+        for i in range(0, len(chunks), LEARN_BLOCK):
+            acts = convolve(self.p["tables"], chunks[i : i + LEARN_BLOCK])
+            at = acts.argmax(axis=1)
+            top_of.append((at, np.take_along_axis(acts, at[:, None], axis=1)[:, 0]))
+        where = np.concatenate([at for at, _ in top_of])  # [chunk, filter]
+        pooled = np.maximum(np.concatenate([top for _, top in top_of]) + self.p["bias"], 0)
         features, hidden, prob = self.head(pooled, counts)
         d = ((prob - labels) / len(labels)).astype(np.float32)
         g = {"w2": hidden.T @ d, "b2": d.sum(keepdims=True)}
@@ -137,9 +140,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network from a bounded sample: the SAMPLE_PER_CLASS labelled ids of each class with the least hashes.
 
-    Held-out ids, null ids and labels other than 0 and 1 are left out, and texts of more than
-    SAMPLE_BYTES. Of a repeated id the least text counts. Texts of the sample are learnt from
-    whole, pooled as they are in scoring.
+    Held-out ids, null ids and labels other than 0 and 1 are left out. Of a repeated id the
+    least text counts, and an id labelled both ways counts as 1. Texts of the sample are learnt
+    from whole, however long, pooled a block of chunks at a time as they are in scoring.
     """
     marked = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).withColumn("_hash", F.xxhash64("_id"))
     classes = [marked.where(F.col("_label") == k).dropDuplicates(["_id"]).orderBy("_hash", "_id").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
@@ -149,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"_chosen {docs.schema[id_col].dataType.simpleString()}")
     here = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_chosen"))  # 2 * SAMPLE_PER_CLASS ids at most
-    rows = here.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= SAMPLE_BYTES).groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(b""))).alias("_text")).collect()
+    rows = here.groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(b""))).alias("_text")).collect()
     rows.sort(key=lambda r: str(r["_id"]))
     if not rows:
         return Network()
