@@ -209,3 +209,11 @@ def n_geo_coords(spark: SparkSession, d: str) -> DataFrame:
 def wc_wordcount(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(S.words(F.lower("text"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, ts <= now()::TIMESTAMP AS past, true AS in_range, CAST(floor(value) AS BIGINT) AS whole FROM events")
+def f_now_rand(spark: SparkSession, d: str) -> DataFrame:
+    """The clock and random numbers: by what must hold of them in each row."""
+    r = F.rand(7)
+    e = table(spark, d, "events").withColumn("_r", r)
+    return e.select("event_id", (F.col("ts") <= F.current_timestamp()).alias("past"), ((F.col("_r") >= 0) & (F.col("_r") < 1)).alias("in_range"), F.floor("value").alias("whole"))

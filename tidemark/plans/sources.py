@@ -30,10 +30,13 @@ def s_fake(spark: SparkSession, d: str) -> DataFrame:
     return reader.option("fields.tags.length", 3).option("fields.kind.null-rate", 0.1).option("number-of-rows", 1000).load()
 
 
-@query("SELECT range AS id, range * 2 AS twice FROM range(1000)")
+@query("SELECT event_id AS id, event_id * 2 AS twice, event_type FROM events")
 def s_datagen(spark: SparkSession, d: str) -> DataFrame:
-    """A bounded sequence generator."""
-    return spark.range(1000).select("id", (F.col("id") * 2).alias("twice"))
+    """A bounded sequence generator, as long as the events' ids reach, joined to them."""
+    events = table(spark, d, "events").select("event_id", "event_type")
+    end = events.agg(F.max("event_id")).first()[0]
+    sequence = spark.range(0 if end is None else end + 1).select("id", (F.col("id") * 2).alias("twice"))
+    return sequence.join(events, F.col("id") == F.col("event_id")).select("id", "twice", "event_type")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_id % 10 <> 0")
@@ -180,3 +183,19 @@ def d_statements(spark: SparkSession, d: str) -> DataFrame:
     for text in statements:
         sqlfront.run(catalog, text)
     return sqlfront.run(catalog, "SELECT okey AS l_orderkey, line AS l_linenumber, doubled FROM returned")
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) AS segment, CAST(len(c_name) AS INTEGER) AS n FROM customer")
+def s_text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of text files, split into fields: written a line a customer, read as a static set of files."""
+    path = shared_folder(spark)
+    sinks.text_files(path)(table(spark, d, "customer").select(F.concat_ws("\t", "c_custkey", "c_mktsegment", "c_name").alias("value")))
+    fields = F.split("value", "\t")
+    return spark.read.text(path, lineSep="\n").select(fields[0].cast("long").alias("c_custkey"), F.upper(fields[1]).alias("segment"), F.length(fields[2]).alias("n"))
+
+
+@query("SELECT user_id, 1 AS tasks FROM events GROUP BY user_id")
+def s_parallelism(spark: SparkSession, d: str) -> DataFrame:
+    """Rows dealt by key to a set number of tasks: each key meets in one."""
+    dealt = table(spark, d, "events").select("user_id").repartition(16, "user_id").withColumn("task", F.spark_partition_id())
+    return dealt.groupBy("user_id").agg(F.count_distinct("task").cast("int").alias("tasks"))

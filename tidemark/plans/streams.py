@@ -232,3 +232,29 @@ def x_star_stream(spark: SparkSession, d: str) -> DataFrame:
     out = stepwise([e.where("day(ts) <= 15"), e.where("day(ts) > 15")], build)["out"]
     stars = assembled(out, "event_id long", dict.fromkeys(roles, "version long"))
     return stars.select("event_id", *[F.col(f"{r}.version").alias(r) for r in roles])
+
+
+@query("""
+SELECT user_id AS key, ts, round(value, 6) AS value
+FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN epoch_ms(ts) END) OVER (PARTITION BY user_id ORDER BY ts) + 21600000 AS until FROM events)
+WHERE event_type <> 'signup' AND epoch_ms(ts) < until
+""")
+def x_switch_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A control stream joined to the rows that it lets pass: six hours of a user's events after each sign-up."""
+    e = read_stream(spark, d, "events").select(F.col("user_id").alias("key"), "ts", "value", F.when(F.col("event_type") == "signup", "switch").otherwise("row").alias("tag"), F.lit(21_600_000).cast("long").alias("for_ms"))
+    out = finish(P.apply(e, ["key"], P.Switch(), "key long, ts timestamp, value double", "update"))
+    return _plain(out.withColumn("value", F.round("value", 6)))
+
+
+@query("""
+WITH e AS (SELECT user_id AS key, epoch_ms(ts) - epoch_ms(ts) % 3600000 AS window_start_ms, epoch_ms(ts) // 600000 AS slot, value FROM events WHERE value IS NOT NULL)
+SELECT key, window_start_ms, count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT CASE WHEN slot % 6 < 5 THEN slot END) AS early
+FROM e GROUP BY key, window_start_ms HAVING window_start_ms + 3600000 <= (SELECT epoch_ms(max(ts)) - 5000 FROM events WHERE value IS NOT NULL)
+""")
+def x_early_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly windows by a trigger of their own: what they fired last, at their end, and how often before, once for each ten minutes with rows."""
+    e = read_stream(spark, d, "events").where("value is not null").withWatermark("ts", "5 seconds")
+    fired = finish(P.apply(e, ["user_id"], P.EarlyWindow("value", 3_600_000, 600_000), "key long, window_start_ms long, n long, total double, final boolean", "append", "eventTime"))
+    last = lambda c: F.max(F.when(F.col("final"), F.col(c)))
+    out = fired.groupBy("key", "window_start_ms").agg(last("n").alias("n"), F.round(last("total"), 6).alias("total"), F.count_if(~F.col("final")).alias("early"))
+    return out.where("n is not null")

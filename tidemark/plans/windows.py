@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sqlfront
 from ..operators import rank, windows
 from .registry import query, table, views
 
@@ -217,3 +218,37 @@ FROM (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*
 def a_cumulative_over_windows(spark: SparkSession, d: str) -> DataFrame:
     counts = windows.spread(table(spark, d, "events").groupBy("user_id", windows.tumble("ts", "1 day")).agg(F.count("*").alias("n")))
     return windows.running(counts, ["user_id"], ["window_start"], so_far=F.sum("n")).drop("window_end")
+
+
+@query("""
+SELECT event_type, b AS started, b + INTERVAL '10 minutes' AS ended, b + INTERVAL '599.999 seconds' AS at, count(*) AS n
+FROM (SELECT *, time_bucket(INTERVAL '10 minutes', ts) AS b FROM events) GROUP BY event_type, b
+""")
+def w_legacy_tumble(spark: SparkSession, d: str) -> DataFrame:
+    """Group windows as statements write them, with their start, end and time columns."""
+    views(spark, d, "events")
+    size = "INTERVAL '10' MINUTE"
+    return sqlfront.sql(spark, f"SELECT event_type, TUMBLE_START(ts, {size}) AS started, TUMBLE_END(ts, {size}) AS ended, TUMBLE_ROWTIME(ts, {size}) AS at, count(*) AS n FROM events GROUP BY event_type, TUMBLE(ts, {size})")
+
+
+@query("""
+SELECT event_type, b - i * INTERVAL '10 minutes' AS started, b - i * INTERVAL '10 minutes' + INTERVAL '30 minutes' AS ended, count(*) AS n, round(sum(value), 6) AS total
+FROM (SELECT *, time_bucket(INTERVAL '10 minutes', ts) AS b FROM events), (VALUES (0), (1), (2)) s(i) GROUP BY 1, 2, 3
+""")
+def w_legacy_hop(spark: SparkSession, d: str) -> DataFrame:
+    """Hopping group windows: slide first, then size."""
+    views(spark, d, "events")
+    window = "ts, INTERVAL '10' MINUTE, INTERVAL '30' MINUTE"
+    return sqlfront.sql(spark, f"SELECT event_type, HOP_START({window}) AS started, HOP_END({window}) AS ended, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type, HOP({window})")
+
+
+@query("""
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL '1 hour' AS ended, count(*) AS n
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, sid
+""")
+def w_legacy_session(spark: SparkSession, d: str) -> DataFrame:
+    """Session group windows by user."""
+    views(spark, d, "events")
+    window = "ts, INTERVAL '1' HOUR"
+    return sqlfront.sql(spark, f"SELECT user_id, SESSION_START({window}) AS started, SESSION_END({window}) AS ended, count(*) AS n FROM events GROUP BY user_id, SESSION({window})")
