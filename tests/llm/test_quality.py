@@ -70,3 +70,16 @@ def test_chunks_cover_every_window():
         s = quality.chunk_starts(n)
         covered = {p for a in s for p in range(a, a + quality.CHUNK - quality.WIDTH + 1)}
         assert covered >= set(range(max(0, n - quality.WIDTH + 1)))
+
+
+def test_long_texts_are_learnt_block_by_block(monkeypatch):
+    """Gradients are the same however many chunks are convolved at once, and texts of any length count."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (200_000, 10, 5_000)]
+    chunks, counts = quality.chunked(texts)
+    made = []
+    for block in (7, 1 << 20):
+        monkeypatch.setattr(quality, "LEARN_BLOCK", block)
+        made.append(quality.Network().gradients(chunks, counts, np.array([1, 0, 1], np.float32)))
+    for k, g in made[0].items():
+        assert np.array_equal(g, made[1][k]), k
