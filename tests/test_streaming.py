@@ -1,7 +1,9 @@
 import time
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows
@@ -148,3 +150,62 @@ def test_fake_stream_upsert_commit_and_topic(spark, tmp_path):
     topic = Topic("t", directory=str(tmp_path / "topics"))
     topic.write(src, keys=["id"], checkpoint=f"{tmp_path}/c3").awaitTermination()
     assert topic.rows(spark, "id long, p string").count() == 2
+
+
+def test_each_batch_is_computed_once(feed, tmp_path):
+    """A look whether a batch is empty would run a stateful step a second time, and break it off."""
+
+    def marked(batches):
+        for b in batches:
+            for _ in range(len(b)):
+                (tmp_path / uuid.uuid4().hex).touch()
+            yield b
+
+    stream = feed(rows((1, 1, 10), (2, 2, 11)), rows((3, 3, 15)))
+    out = finish(stream.mapInPandas(marked, stream.schema))
+    assert len(list(tmp_path.glob("?" * 32))) == 3 == out.count()
+
+
+def test_early_windows_by_one_timer_a_key():
+    """Every firing of a key's windows at one timer, however many rows and windows it has."""
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: self.rows[0] if self.value else iter(self.rows)
+        update = lambda self, v: setattr(self, "rows", [v])
+        put = lambda self, v: setattr(self, "rows", list(v))
+        clear = lambda self: setattr(self, "rows", [])
+
+    class Handle:
+        timers: set = set()
+
+        def getValueState(self, *_):
+            s = State()
+            s.value = True
+            return s
+
+        def getListState(self, *_):
+            s = State()
+            s.value = False
+            return s
+
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    p, handle = P.EarlyWindow("v", 10_000, 1_000), Handle()
+    p.init(handle)
+    base = int(T0.timestamp() * 1000)
+    given = [Row(ts=sec(s), v=1.0) for s in (12, 1, 1, 3, 14, 40)]
+    list(p.handleInputRows(("a",), iter(given), At(0)))
+    assert handle.timers == {base + 2_000}
+    out = list(p.handleExpiredTimer(("a",), At(base + 14_000), None))
+    assert [(r["window_start_ms"] - base, r["n"], r["final"]) for r in sorted(out, key=lambda r: (r["window_start_ms"], r["final"]))] == [(0, 3, False), (0, 3, False), (0, 3, True), (10_000, 2, False)]
+    assert handle.timers == {base + 2_000, base + 15_000}  # Spark itself deletes the one that expired
+    assert len(list(p.handleExpiredTimer(("a",), At(base + 60_000), None))) == 4 and not p.windows.exists() and not p.alarm.exists()

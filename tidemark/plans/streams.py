@@ -73,14 +73,14 @@ def x_lookup_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id AS key, ts, round(p, 6) AS before, round(value, 6) AS value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE value IS NOT NULL) WHERE abs(value - p) > 50")
 def x_change_alert_stream(spark: SparkSession, d: str) -> DataFrame:
     """Keyed state: values that jump from their key's last one."""
-    e = read_stream(spark, d, "events").where("value is not null")
+    e = read_stream(spark, d, "events").where("value is not null").select("user_id", "ts", "value")
     out = finish(P.apply(e, ["user_id"], P.ChangeAlert("value", 50.0), "key long, ts timestamp, before double, value double", "update"))
     return _plain(out.select("key", "ts", F.round("before", 6).alias("before"), F.round("value", 6).alias("value")))
 
 
 @query("SELECT user_id AS key, ts, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS total FROM events WHERE value IS NOT NULL")
 def x_rolling_sum_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = read_stream(spark, d, "events").where("value is not null")
+    e = read_stream(spark, d, "events").where("value is not null").select("user_id", "ts", "value")
     out = finish(P.apply(e, ["user_id"], P.RunningSum("value"), "key long, ts timestamp, total double", "update"))
     return _plain(out.select("key", "ts", F.round("total", 6).alias("total")))
 
@@ -90,7 +90,7 @@ SELECT user_id AS key, b AS bucket, CAST(count(*) AS INTEGER) AS n, round(sum(va
 FROM (SELECT *, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // 2 AS BIGINT) AS b FROM events WHERE value IS NOT NULL) GROUP BY 1, 2 HAVING count(*) = 2
 """)
 def x_count_window_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = read_stream(spark, d, "events").where("value is not null")
+    e = read_stream(spark, d, "events").where("value is not null").select("user_id", "ts", "value")
     out = finish(P.apply(e, ["user_id"], P.CountWindow("value", 2), "key long, bucket long, n int, total double", "update"))
     return out.select("key", "bucket", "n", F.round("total", 6).alias("total"))
 
@@ -253,7 +253,7 @@ FROM e GROUP BY key, window_start_ms HAVING window_start_ms + 3600000 <= (SELECT
 """)
 def x_early_stream(spark: SparkSession, d: str) -> DataFrame:
     """Hourly windows by a trigger of their own: what they fired last, at their end, and how often before, once for each ten minutes with rows."""
-    e = read_stream(spark, d, "events").where("value is not null").withWatermark("ts", "5 seconds")
+    e = read_stream(spark, d, "events").where("value is not null").select("user_id", "ts", "value").withWatermark("ts", "5 seconds")
     fired = finish(P.apply(e, ["user_id"], P.EarlyWindow("value", 3_600_000, 600_000), "key long, window_start_ms long, n long, total double, final boolean", "append", "eventTime"))
     last = lambda c: F.max(F.when(F.col("final"), F.col(c)))
     out = fired.groupBy("key", "window_start_ms").agg(last("n").alias("n"), F.round(last("total"), 6).alias("total"), F.count_if(~F.col("final")).alias("early"))

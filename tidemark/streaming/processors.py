@@ -313,7 +313,9 @@ class AsOf(StatefulProcessor):
 class EarlyWindow(StatefulProcessor):
     """Tumbling windows that fire early, once each ``every_ms`` of event time, and finally at their end.
 
-    (key, window_start_ms, n, total, final). Needs event time.
+    (key, window_start_ms, n, total, final). Needs event time. A key's open windows and the
+    times at which they are to fire are read and written once a micro-batch, and one timer
+    wakes the key for the earliest.
     """
 
     def __init__(self, column: str, size_ms: int, every_ms: int, ts: str = "ts"):
@@ -321,30 +323,46 @@ class EarlyWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.windows = handle.getMapState("windows", "start long", "n long, total double")
+        self.alarm = handle.getValueState("alarm", "ms long")
+        self.windows = handle.getListState("windows", "start long, n long, total double, due array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = {w[0]: [w[1], w[2], set(w[3])] for w in self.windows.get()}
         for r in rows:
             at = int(r[self.ts].timestamp() * 1000)
             start = at - at % self.size
-            n, total = self.windows.getValue((start,)) if self.windows.containsKey((start,)) else (0, 0.0)
-            self.windows.updateValue((start,), (n + 1, total + float(r[self.column])))
-            fire = at - at % self.every + self.every
-            self.handle.registerTimer(min(fire, start + self.size))
-            self.handle.registerTimer(start + self.size)
+            window = held.setdefault(start, [0, 0.0, set()])
+            window[0] += 1
+            window[1] += float(r[self.column])
+            window[2].add(min(at - at % self.every + self.every, start + self.size))
+        self._wait([(start, n, total, sorted(due)) for start, (n, total, due) in held.items()], self.alarm.get()[0] if self.alarm.exists() else None)
         return iter([])
 
+    def _wait(self, held: list[tuple], before: int | None) -> None:
+        """Keeps the open windows and sets the timer for the earliest firing, in place of one set ``before``."""
+        self.windows.put(held)
+        first = min(min([start + self.size, *due]) for start, _, _, due in held)
+        if before != first:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(first)
+            self.alarm.update((first,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        start = at - at % self.size
-        start = start - self.size if start == at else start
-        if not self.windows.containsKey((start,)):
-            return iter([])
-        n, total = self.windows.getValue((start,))
-        final = at == start + self.size
-        if final:
-            self.windows.removeKey((start,))
-        return iter([Row(key=key[0], window_start_ms=start, n=n, total=total, final=final)])
+        mark, out, rest = timerValues.getCurrentWatermarkInMs(), [], []
+        for start, n, total, due in self.windows.get():
+            end = start + self.size
+            out += [Row(key=key[0], window_start_ms=start, n=n, total=total, final=False) for at in due if at <= mark and at < end]
+            if end <= mark:
+                out.append(Row(key=key[0], window_start_ms=start, n=n, total=total, final=True))
+            else:
+                rest.append((start, n, total, [at for at in due if at > mark]))
+        if rest:
+            self._wait(rest, None)
+        else:
+            self.windows.clear()
+            self.alarm.clear()
+        return iter(out)
 
     def close(self) -> None:
         pass

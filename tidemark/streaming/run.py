@@ -53,17 +53,18 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 def _kept(base: str, outputs: dict[str, Column | None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that writes a batch's rows to each output whose condition they meet, under the batch's epoch.
 
-    A batch that runs again replaces what it has written.
+    A batch that runs again replaces what it has written. Each batch is computed once, to its
+    end: a look at some of its rows first, such as whether there are any, would run stateful
+    steps twice and break off the first run while their state is being changed.
     """
 
     def keep(batch: DataFrame, epoch: int) -> None:
         if len(outputs) > 1:
             batch.persist()
         try:
-            if not batch.isEmpty():
-                for name, condition in outputs.items():
-                    rows = batch if condition is None else batch.where(condition)
-                    rows.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+            for name, condition in outputs.items():
+                rows = batch if condition is None else batch.where(condition)
+                rows.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
         finally:
             batch.unpersist()
 
