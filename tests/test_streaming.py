@@ -1,15 +1,18 @@
 import time
 import uuid
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators import windows
 from tidemark.sources import sinks
 from tidemark.sources.fake import FakeDataSource
 from tidemark.sources.topics import Topic
+from tidemark.streaming import packed as packed_rows
 from tidemark.streaming import processors as P
 from tidemark.streaming.run import finish
 
@@ -209,3 +212,23 @@ def test_early_windows_by_one_timer_a_key():
     assert [(r["window_start_ms"] - base, r["n"], r["final"]) for r in sorted(out, key=lambda r: (r["window_start_ms"], r["final"]))] == [(0, 3, False), (0, 3, False), (0, 3, True), (10_000, 2, False)]
     assert handle.timers == {base + 2_000, base + 15_000}  # Spark itself deletes the one that expired
     assert len(list(p.handleExpiredTimer(("a",), At(base + 60_000), None))) == 4 and not p.windows.exists() and not p.alarm.exists()
+
+
+def test_rows_come_packed_by_key(spark):
+    """A processor without timers takes a key's rows as a few rows of arrays; times, nulls and null keys are kept."""
+    given = StructType.fromDDL("k string, ts timestamp, v double, n int")
+    at = [sec(s).replace(tzinfo=timezone.utc) for s in range(5)]
+    values = [("b", at[0], 1.0, 1), (None, at[1], None, 2), ("a", None, 2.0, None), ("b", at[3], 3.0, 4), (None, at[4], 4.0, 5)]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*values), (pa.string(), pa.timestamp("us", "UTC"), pa.float64(), pa.int32()))], given.names)
+    packed = pa.Table.from_batches(packed_rows._packer(["k"])(iter(table.to_batches(max_chunksize=2)))).to_pylist()
+    assert len(packed) == 3
+    unpacked = packed_rows.Packed(None, given, ["k"], given)._rows(Row(**p) for p in packed)
+    assert sorted(map(repr, map(tuple, unpacked))) == sorted(map(repr, values))
+
+
+def test_rules_and_switches_write_state_that_changes(feed):
+    """Rules are one state a key; across batches a rule, a reading and a removal come to what they did."""
+    row = lambda s, tag, v=None, t=None: {"id": s, "k": "a", "ts": sec(s), "tag": tag, "v": v, "threshold": t}
+    stream = feed([row(1, "rule", t=5.0)], [row(2, "reading", 1.0)], [row(3, "reading", 9.0), row(4, "rule", t=0.0)], [row(5, "reading", 90.0)]).withColumnRenamed("v", "value")
+    out = finish(P.apply(stream, ["k"], P.RuleAlert(), "key string, ts timestamp, value double, threshold double", "update"))
+    assert [(r["value"], r["threshold"]) for r in out.collect()] == [(9.0, 5.0)]

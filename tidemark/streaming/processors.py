@@ -15,10 +15,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators.match import settled
+from .packed import apply_packed
 
 
 def apply(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "append", time: str = "none", event_time: str = "") -> DataFrame:
-    """A keyed stream through a processor."""
+    """A keyed stream through a processor; one that needs no time, with its rows packed by key, if they have more than the key."""
+    if time == "none" and not event_time and set(df.columns) - set(keys):
+        return apply_packed(df, keys, processor, schema, mode)
     args = {"eventTimeColumnName": event_time} if event_time else {}
     return df.groupBy(*keys).transformWithState(processor, schema, mode, time, **args)
 
@@ -64,7 +67,7 @@ class Keyed(StatefulProcessor):
         return sorted(rows, key=lambda r: r[self.order])
 
     def held(self) -> Any:
-        return self.state.get() if self.state.exists() else None
+        return self.state.get()
 
     def close(self) -> None:
         pass
@@ -162,12 +165,11 @@ class RuleAlert(StatefulProcessor):
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rule = handle.getValueState("rule", "threshold double")
-        self.last = handle.getValueState("last", "v double")
+        self.state = handle.getValueState("state", "threshold double, v double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        threshold = self.rule.get()[0] if self.rule.exists() else None
-        last = self.last.get()[0] if self.last.exists() else None
+        before = self.state.get() or (None, None)
+        threshold, last = before
         for r in sorted(rows, key=lambda r: (r[self.order], r["tag"] != "rule")):
             if r["tag"] == "rule":
                 threshold = r["threshold"] or None
@@ -175,9 +177,8 @@ class RuleAlert(StatefulProcessor):
             if threshold is not None and last is not None and abs(r["value"] - last) > threshold:
                 yield Row(**{"key": key[0], self.order: r[self.order], "value": r["value"], "threshold": threshold})
             last = r["value"]
-        self.rule.update((threshold,)) if threshold is not None else self.rule.clear()
-        if last is not None:
-            self.last.update((last,))
+        if (threshold, last) != tuple(before):
+            self.state.update((threshold, last)) if (threshold, last) != (None, None) else self.state.clear()
 
     def close(self) -> None:
         pass
@@ -189,14 +190,15 @@ class Switch(Keyed):
     state_schema = "until long"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        until = (self.held() or (0,))[0]
+        before = until = (self.held() or (0,))[0]
         for r in sorted(rows, key=lambda r: (r[self.order], r["tag"] != "switch")):
             at = int(r[self.order].timestamp() * 1000)
             if r["tag"] == "switch":
                 until = at + r["for_ms"]
             elif at < until:
                 yield Row(**{"key": key[0], self.order: r[self.order], "value": r["value"]})
-        self.state.update((until,))
+        if until != before:
+            self.state.update((until,))
 
 
 class CountWindow(StatefulProcessor):
