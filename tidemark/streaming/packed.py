@@ -24,7 +24,7 @@ def _packed(schema: StructType, keys: list[str]) -> StructType:
     return StructType([f if f.name in keys else StructField(f.name, ArrayType(kind(f))) for f in schema])
 
 
-def _packer(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(keys: list[str], at_once: int = AT_ONCE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         codes = [pa.chunked_array(t[k].chunks, t[k].type).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
@@ -50,7 +50,7 @@ def _packer(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             if b.num_rows:
                 held.append(b)
                 n += b.num_rows
-            if n >= AT_ONCE:
+            if n >= at_once:
                 yield from one(held)
                 held, n = [], 0
         if held:
@@ -59,6 +59,11 @@ def _packer(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return pack
 
 
+def pack(df: DataFrame, keys: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """A stream's rows as arrays by key, times as microseconds: a row for each key of a micro-batch, or one for every ``at_once`` rows of a task that hold it."""
+    return df.repartition(*keys).mapInArrow(_packer(keys, at_once), _packed(df.schema, keys))
+
+
 class Packed(StatefulProcessor):
     """Gives a processor its key's rows one by one, and packs what it returns."""
 

@@ -25,14 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store of queries that start inside; each keeps the settings that it starts with."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """The state store of queries that start inside; each keeps the settings that it starts with.
+
+    It doesn't count its rows, for which every write would first look its key up.
+    """
+    store = "spark.sql.streaming.stateStore"
+    held = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.trackTotalNumberOfRows": "false"}
+    before = {name: spark.conf.get(name, None) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def _run(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> None:
