@@ -31,6 +31,8 @@ BINS = ORDER * ORDER
 #: The lines of the affine plane: upright ones, then those of each slope.
 BANDS = [tuple(ORDER * x + y for y in range(ORDER)) for x in range(ORDER)]
 BANDS += [tuple(ORDER * x + (slope * x + at) % ORDER for x in range(ORDER)) for slope in range(ORDER) for at in range(ORDER)]
+#: Least hashes are first sought among so many of a line's shingles for each bin, as are to be expected.
+NARROWED = 8
 #: 64-bit words of a sketch, bytes of a UTF-16 unit, words of the filter of wanted keys (two megabytes).
 SKETCH, WIDE, FILTER = 32, 2, 1 << 18
 #: Lines in one part of a large bucket.
@@ -70,12 +72,10 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sketches(texts: DataFrame) -> DataFrame:
     """(_key, _n, _x0, ...) from (_key, _line): a count that is no less than the shingles', and bits set by them: sets that differ in k shingles differ in k bits at most."""
     word, bit = F.shiftrightunsigned("_h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_h").bitwiseAND(F.lit(63)).cast("int"))
-    bits = [F.bit_or(F.when(F.col("_word") == i, F.col("_bit"))) for i in range(SKETCH)]
-    return shingle_rows(texts).select("_key", word.alias("_word"), bit.alias("_bit")).groupBy("_key").agg(F.count("*").alias("_n"), *[F.coalesce(b, F.lit(0).cast("long")).alias(f"_x{i}") for i, b in enumerate(bits)])
-
-
-def _side(name: str, marks: DataFrame) -> DataFrame:
-    return marks.select(*[F.col(c).alias(name + c) for c in marks.columns])
+    # a line's words one by one, then side by side: a shingle touches one word, not all of them
+    words = shingle_rows(texts.repartition("_key")).select("_key", word.alias("_word"), bit.alias("_bit")).groupBy("_key", "_word").agg(F.count("*").alias("_n"), F.bit_or("_bit").alias("_bits"))
+    bits = [F.bit_or(F.when(F.col("_word") == i, F.col("_bits"))) for i in range(SKETCH)]
+    return words.groupBy("_key").agg(F.sum("_n").alias("_n"), *[F.coalesce(b, F.lit(0).cast("long")).alias(f"_x{i}") for i, b in enumerate(bits)])
 
 
 def may_be_near(u: str, v: str) -> Column:
@@ -114,14 +114,41 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(similar(F.col("u_line"), F.col("v_line"))).select("u", "v")
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(_key, _b0, ...): the bands of each line (_key, _line); null where all its bins are empty."""
-    one = shingle_rows(lines).select("_key", F.shiftright(F.shiftrightunsigned("_h", 32) * BINS, 32).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
-    # one row a line from here on, equal lines being one; combined in each task before the shuffle.
-    # The bin is the hash's high half, so the low half, as an integer, orders and tells hashes apart within it
-    least = one.groupBy("_key").agg(*[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(f"_m{i}") for i in range(BINS)])
+def least_hashes(lines: DataFrame, narrowed: int | None) -> DataFrame:
+    """(_key, _top, _m0, ...): each line's least hash in every bin.
+
+    ``narrowed`` has only hashes up to _top looked at, below which so many a bin are to be
+    expected, and the first shingle's. What is found up to _top is the least of all.
+    """
+    most = (1 << 31) - 1
+    wide = lines.select("_key", F.encode("_line", "UTF-16BE").alias("_wide"))
+    n = F.greatest(F.octet_length("_wide") / WIDE - (SHINGLE - 1), F.lit(1))
+    top = F.lit(most) if narrowed is None else F.least(F.lit(most), F.floor(F.lit(float(narrowed * BINS << 32)) / n) - (1 << 31)).cast("int")
+    rows = wide.select("_key", "_wide", top.alias("_top")).select("_key", "_wide", "_top", F.explode(starts(F.col("_wide"))).alias("_start"))
+    rows = rows.select("_key", "_top", "_start", shingle(F.col("_wide"), F.col("_start")).alias("_h"))
+    # the bin is the hash's high half, so the low half, as an integer, orders and tells hashes apart within it
+    one = rows.select("_key", "_top", "_start", F.shiftright(F.shiftrightunsigned("_h", 32) * BINS, 32).cast("int").alias("_bin"), (F.col("_h").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("_low_half"))
+    one = one.where("_low_half <= _top or _start = 1")
+    # one row a line from here on, equal lines being one; combined in each task before the shuffle
+    return one.groupBy("_key").agg(F.max("_top").alias("_top"), *[F.min(F.when(F.col("_bin") == i, F.col("_low_half"))).alias(f"_m{i}") for i in range(BINS)])
+
+
+def signatures(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(_key, _b0, ...): the bands of each line (_key, _line), null where all its bins are empty; and the written tables that this reads.
+
+    Lines of which narrowing may have missed a least hash, as of those whose shingles are
+    mostly repeats, are gone through again, whole.
+    """
+    first = cut_lineage(least_hashes(lines, NARROWED))
+    missed = F.lit(False)
+    for i in range(BINS):
+        missed = missed | F.col(f"_m{i}").isNull() | (F.col(f"_m{i}") > F.col("_top"))
+    missed = missed & (F.col("_top") < (1 << 31) - 1)
+    doubtful = cut_lineage(first.where(missed).select("_key"))
+    again = cut_lineage(least_hashes(texts_of(lines, doubtful), None))
+    forget(doubtful)
     bands = [F.when(F.coalesce(*[f"_m{i}" for i in band]).isNotNull(), F.xxhash64(F.lit(k), *[f"_m{i}" for i in band])).alias(f"_b{k}") for k, band in enumerate(BANDS)]
-    return least.select("_key", *bands)
+    return first.where(~missed).union(again).select("_key", *bands), [first, again]
 
 
 def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -197,9 +224,9 @@ def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """(node, root): of lines (_key, _line), keyed by 64-bit hash, those that belong with another line, and the least of their component."""
-    signed = cut_lineage(signatures(lines))
+    signed, held = signatures(lines)
     members, shared = buckets(signed)
-    forget(signed)
+    forget(*held)
     keys = cut_lineage(members.select("_key").distinct())
     texts = cut_lineage(texts_of(lines, keys))
     marks = cut_lineage(sketches(texts))
@@ -224,8 +251,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ignored; an empty table gives no rows.
     """
     lines = line_table(docs, id_col, text_col)
-    every = cut_lineage(lines.select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key")))
-    classes = line_classes(lines.select(F.xxhash64("_line").alias("_key"), "_line"))
+    written = cut_lineage(lines.select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key"), "_line"))
+    every = written.drop("_line")
+    classes = line_classes(written.select("_key", "_line"))
     least = every.groupBy("_key").agg(F.min(F.struct("_doc", "_no", "_copy")).alias("_own"), F.count("*").alias("_n"))
     named = least.join(classes.withColumn("_in", F.lit(True)), F.col("_key") == F.col("node"), "left").join(classes.select(F.col("root").alias("_root_key")).distinct(), F.col("_key") == F.col("_root_key"), "left")
     # lines that occur once and are like no other stand for themselves and need no row
