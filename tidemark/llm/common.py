@@ -45,8 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written as a table in the shared folder and read from there.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """The rows of ``df``, written as a table in the shared folder, by the writer's ``options``, and read from there.
 
     Later steps don't depend on executors that hold earlier ones' shuffle files, so those
     are dropped once the table stands; ``forget`` drops the table.
@@ -56,7 +56,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEAN_UP)

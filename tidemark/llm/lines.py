@@ -37,6 +37,8 @@ NARROWED = 8
 SKETCH, WIDE, FILTER = 32, 2, 1 << 18
 #: Lines in one part of a large bucket.
 TILE = 1024
+#: Lines and their hashes hardly repeat within a file, so no dictionary is tried.
+PLAIN = {"parquet.enable.dictionary": "false"}
 #: White space within lines.
 BLANKS = " \t\x0b\x0c\r"
 
@@ -56,11 +58,9 @@ def shingles(line: Column) -> Column:
     return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda w: F.transform(starts(w), lambda i: shingle(w, i)))[0]
 
 
-def shingle_rows(lines: DataFrame) -> DataFrame:
-    """(_key, _h): shingles() in rows, in generated code."""
-    wide = lines.select("_key", F.encode("_line", "UTF-16BE").alias("_wide"))
-    wide = wide.select("_key", "_wide", F.explode(starts(F.col("_wide"))).alias("_start"))
-    return wide.select("_key", shingle(F.col("_wide"), F.col("_start")).alias("_h"))
+def worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns, each worked out once a row: Spark would move a filter on a mere projection of them below it, and work them out there anew."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,10 +70,14 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(_key, _n, _x0, ...) from (_key, _line): a count that is no less than the shingles', and bits set by them: sets that differ in k shingles differ in k bits at most."""
+    """(_key, _n, _x0, ...) from (_key, _line): the number of different shingles, and bits that each of them flips: sets that differ in k shingles differ in k bits at most.
+
+    Shingles that two lines share cancel out, so their number doesn't blur the difference.
+    """
     word, bit = F.shiftrightunsigned("_h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_h").bitwiseAND(F.lit(63)).cast("int"))
+    rows = worked_out(texts.repartition("_key"), _all=shingles(F.col("_line"))).select("_key", F.explode(F.array_distinct("_all")).alias("_h"))
     # a line's words one by one, then side by side: a shingle touches one word, not all of them
-    words = shingle_rows(texts.repartition("_key")).select("_key", word.alias("_word"), bit.alias("_bit")).groupBy("_key", "_word").agg(F.count("*").alias("_n"), F.bit_or("_bit").alias("_bits"))
+    words = rows.select("_key", word.alias("_word"), bit.alias("_bit")).groupBy("_key", "_word").agg(F.count("*").alias("_n"), F.bit_xor("_bit").alias("_bits"))
     bits = [F.bit_or(F.when(F.col("_word") == i, F.col("_bits"))) for i in range(SKETCH)]
     return words.groupBy("_key").agg(F.sum("_n").alias("_n"), *[F.coalesce(b, F.lit(0).cast("long")).alias(f"_x{i}") for i, b in enumerate(bits)])
 
@@ -92,26 +96,21 @@ def may_be_near(u: str, v: str) -> Column:
     return near
 
 
-def similar(u: Column, v: Column) -> Column:
-    """Whether two lines are similar enough, by the shingles themselves.
+def similar(pairs: DataFrame, u: str, v: str) -> DataFrame:
+    """Those of the pairs whose lines are similar enough, by the shingles themselves.
 
-    Lambda variables hold the two sets and their common size, so each is worked out once;
-    within a branch Spark would otherwise do so for every mention.
+    The sets stand in columns, not within a lambda, where Spark would intersect them object by object.
     """
-
-    def near(p: Column) -> Column:
-        total = F.size(p["a"]) + F.size(p["b"])
-        return F.transform(F.array(F.size(F.array_intersect(p["a"], p["b"]))), lambda shared: shared >= SIMILARITY * (total - shared))[0]
-
-    sets = F.struct(F.array_distinct(shingles(u)).alias("a"), F.array_distinct(shingles(v)).alias("b"))
-    return F.transform(F.array(sets), near)[0]
+    sets = worked_out(pairs, _u_all=shingles(F.col(u + "_line")), _v_all=shingles(F.col(v + "_line")))
+    sets = worked_out(sets, _shared=F.size(F.array_intersect("_u_all", "_v_all")))
+    return sets.where(F.col("_shared") >= SIMILARITY * (F.col(u + "_n") + F.col(v + "_n") - F.col("_shared")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the written pairs (u, v) whose lines are similar enough."""
+    """Those of the written pairs (u, v, u_n, v_n) whose lines are similar enough."""
     u, v = (texts.select(F.col("_key").alias(c), F.col("_line").alias(c + "_line")) for c in "uv")
     both = join_dealt(join_dealt(pairs, u, "u"), v, "v", counts=pairs.groupBy("v").agg(F.count("*").alias("_n")))
-    return both.where(similar(F.col("u_line"), F.col("v_line"))).select("u", "v")
+    return similar(both, "u", "v").select("u", "v")
 
 
 def least_hashes(lines: DataFrame, narrowed: int | None) -> DataFrame:
@@ -181,10 +180,11 @@ def pivot_pairs(members: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those of the written pairs (u, v) that their sketches don't rule out."""
+    """Those of the written pairs (u, v) that their sketches don't rule out, with the sizes of both sets."""
     u, v = (marks.select(F.col("_key").alias(c), *[F.col(m).alias(c + m) for m in marks.columns[1:]]) for c in "uv")
     both = join_dealt(join_dealt(pairs, u, "u"), v, "v", counts=pairs.groupBy("v").agg(F.count("*").alias("_n")))
-    return both.where(may_be_near("u", "v")).select("u", "v")
+    # within a lambda, the test is kept out of the join's one method, which gets too large to be compiled
+    return both.where(F.exists(F.array(may_be_near("u", "v")), lambda near: near)).select("u", "v", "u_n", "v_n")
 
 
 def open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -212,8 +212,9 @@ def open_links(still: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFram
     left, right = (df.select(*[F.col(c).alias(side + c) for c in df.columns]) for side, df in (("a", left), ("b", right)))
     tile = F.expr("a_band = b_band and a_i = b_i and a_j = b_j")
     apart = F.expr("a_root <> b_root and (a_i < a_j or a_key > b_key)")
-    here = F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_band")
-    links = left.join(right, tile & apart & F.when(may_be_near("a", "b") & here, similar(F.col("a_line"), F.col("b_line"))).otherwise(False))
+    # by its lambda, Spark compiles the condition in small methods; as part of the join's one large method it takes several times as long
+    here = ~F.exists(F.array_intersect("a_open", "b_open"), lambda band: band < F.col("a_band"))
+    links = similar(left.join(right, tile & apart & F.when(may_be_near("a", "b"), here).otherwise(False)), "a", "b")
     return links.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
 
 
@@ -251,7 +252,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ignored; an empty table gives no rows.
     """
     lines = line_table(docs, id_col, text_col)
-    written = cut_lineage(lines.select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key"), "_line"))
+    written = cut_lineage(lines.select("_doc", "_copy", "_no", F.xxhash64("_line").alias("_key"), "_line"), **PLAIN)
     every = written.drop("_line")
     classes = line_classes(written.select("_key", "_line"))
     least = every.groupBy("_key").agg(F.min(F.struct("_doc", "_no", "_copy")).alias("_own"), F.count("*").alias("_n"))
